@@ -51,6 +51,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
     """
     shared = written(shared_lines(docs.select("doc_id", "text"), min_docs, min_chars), "shared-lines")
     dropped = _keys(docs.select("doc_id", "text"), min_chars).join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("r1", "r2").agg(F.collect_set("pos").alias("__drop"))
+    dropped = dropped.hint("shuffle_hash")  # positions are few beside texts: texts stream past them unsorted
     text = F.coalesce(F.col("text"), F.lit(""))
     r1, r2 = row_keys(F.col("doc_id"), text)
     kept = keep_columns(docs, MADE)
