@@ -5,9 +5,12 @@ from __future__ import annotations
 from importlib import import_module
 
 _NAMES = {
+    "op1_secret_scan": "op01_secrets",
     "op2_line_dedup": "op02_lines",
     "op3_simhash_near_dedup": "op03_simhash",
+    "op4_toxicity": "op04_toxicity",
     "op7_mix_sources": "op07_mixing",
+    "op8_quality": "op08_quality",
     "op9_pack_buckets": "op09_packing",
 }
 
