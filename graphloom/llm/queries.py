@@ -9,9 +9,12 @@ _NAMES = {
     "op2_line_dedup": "op02_lines",
     "op3_simhash_near_dedup": "op03_simhash",
     "op4_toxicity": "op04_toxicity",
+    "op5_main_text": "op05_html",
+    "op6_rabitq_neighbours": "op06_rabitq",
     "op7_mix_sources": "op07_mixing",
     "op8_quality": "op08_quality",
     "op9_pack_buckets": "op09_packing",
+    "op10_nra_top_k": "op10_nra",
 }
 
 
