@@ -1,30 +1,37 @@
 """SimHash near-dedup: fingerprints of word shingles, linked by a binary trie self-join.
 
 Fingerprints that differ in at most k bits agree on one of k + 1 blocks of bits (pigeonhole), so the
-join is dealt out by (block, its value). In each group a binary trie over the fingerprints is joined
-with itself: pairs of nodes go down together, the bits in which they differ add up, and a pair over
-the budget is pruned. A group gives the links of a spanning forest of its own matches, not all pairs;
-groups over `GROUP_ROWS` are cut into salted chunks and joined chunk by chunk, each pair of chunks a
-task, so a group's size bounds no task and no link is lost. Components come from joins that hook each
-root to its smallest neighbour, written to the shared folder between rounds.
+join is dealt out by (block, its value), each fingerprint turned so that the block leads. In a task a
+binary trie over the turned fingerprints is joined with itself from the nodes of whole blocks down: pairs of
+nodes go down together, the bits in which they differ add up, and a pair over the budget is pruned.
+A task gives the links of a spanning forest of its matches, not all pairs. Groups over GROUP_ROWS are
+cut into salted chunks that meet pair by pair, so no group is one task and no link is lost. Components come
+from rounds of joins that hook labels to the smallest in reach, written to the shared folder between rounds.
+
+near_duplicates() links at 3 bits of one fingerprint. similar_texts() links at a Jaccard similarity of distinct
+shingles: it takes several fingerprints, deals by shorter blocks of each, and counts bits over all.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Written, keep_columns, shared_dir, slices, table, written
+from graphloom.llm.common import Written, keep_columns, row_keys, slices, table, written
 
 MADE = ["fingerprint", "component_id"]
 SEED = 42
-#: Rows of a chunk of a hot group.
-GROUP_ROWS = 8192
+#: Rows of a chunk of a hot group, and rows that a task holds at a time besides.
+GROUP_ROWS, CHUNK_ROWS = 8192, 65536
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_TURNS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F)]
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -49,103 +56,202 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (long: the fingerprint's 64 bits) of each row."""
+def _more(hashes: np.ndarray, part: int) -> np.ndarray:
+    """Other hashes of the same shingles, for a further fingerprint; part 0 are the hashes themselves."""
+    if part:
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * _TURNS[(part - 1) % len(_TURNS)]
+        hashes = (hashes ^ (hashes >> np.uint64(32))) * _TURNS[part % len(_TURNS)]
+        hashes = hashes ^ (hashes >> np.uint64(31))
+    return hashes
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What is a link: fingerprints, blocks of each that lead, bits that may differ in the fingerprint met in and in all, and the least ratio of sizes."""
+
+    parts: int = 1
+    blocks: int = 4
+    most: int = 3
+    total: int = 3
+    ratio: float = 0.0
+
+    @staticmethod
+    def of_similarity(similarity: float, parts: int = 6, blocks: int = 5) -> Rule:
+        """For a Jaccard similarity s of sets: bits differ with probability acos(2s / (1 + s)) / pi.
+
+        total is that many bits and 1.65 standard deviations more (a pair at s is linked in 95 of 100 cases,
+        one over it more often), most three more in the fingerprint that the pair meets in. With 6 fingerprints
+        and 5 blocks a pair at 0.8 meets in one of 30 blocks in 98 of 100 cases.
+        """
+        p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        upto = lambda n, z: int(n * p + z * math.sqrt(n * p * (1 - p)))
+        return Rule(parts, blocks, upto(64, 3.0), upto(64 * parts, 1.65), similarity)
+
+
+SIMILAR = Rule.of_similarity(0.8)
+
+
+def fingerprints(docs: DataFrame, words: int, parts: int = 1, distinct: bool = False) -> DataFrame:
+    """doc_id, r1, r2 (row key), fps (array of `parts` longs: 64 bits each), n (shingles) of each row."""
 
     def run(batches):
         for b in slices(batches):
-            fp = np.array([simhash(shingle_hashes(t, words)) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
+            fps, sizes = [], []
+            for t in b.column("text").to_pylist():
+                h = shingle_hashes(t, words)
+                h = np.unique(h) if distinct else h
+                fps += [simhash(_more(h, k)) for k in range(parts)]
+                sizes.append(len(h))
+            flat = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * parts), flat)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("r1"), b.column("r2"), lists, pa.array(sizes, pa.int64())], names=["doc_id", "r1", "r2", "fps", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    r1, r2 = row_keys(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), "text").mapInArrow(run, "doc_id long, r1 long, r2 long, fps array<long>, n long")
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+class _Labels:
+    """Components of what has been linked: the smallest position of each."""
 
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return int(i)
+    def __init__(self, n: int):
+        self.of = np.arange(n)
 
-    def link(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+    def link(self, p: np.ndarray, q: np.ndarray) -> None:
+        while len(p):
+            a, b = self.of[p], self.of[q]
+            apart = a != b
+            p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+            np.minimum.at(self.of, np.maximum(a, b), np.minimum(a, b))
+            while (self.of[self.of] != self.of).any():
+                self.of = self.of[self.of]
 
 
-def trie_links(fps: np.ndarray, most: int, cross: int = 0) -> np.ndarray:
-    """For sorted distinct fingerprints (uint64), the index of each one's root in the forest of links of at most `most` bits.
+def trie_links(turned: np.ndarray, lead: int, rule: Rule, words: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+    """For sorted turned fingerprints, the position of each one's component among links of those with the same `lead` first bits.
 
-    A node of the trie is a range of the sorted array; its two children part at the next bit. Pairs
-    of nodes of a level are arrays, so a level is one step: pairs split, differing bits add up,
-    pairs over the budget go. A pair of a few leaves is compared directly.
+    A node of the trie is a range of the sorted array; its two children part at the next bit. The pairs
+    of nodes of a level are arrays, so a level is one step: pairs split, differing bits add up, pairs
+    over the budget go. A pair of a few leaves is compared directly, over all fingerprints (`words`) and sizes if given.
     """
-    n, leaf = len(fps), 64
-    forest = _Forest(n)
+    n, leaf = len(turned), 32
+    labels = _Labels(n)
     if n < 2:
-        return forest.up
-    a0, a1, b0, b1, err = (np.array([v]) for v in (0, n, 0, n, 0))
-    for bit in range(63, -2, -1):
+        return labels.of
+    head = turned >> np.uint64(64 - lead) if lead else np.zeros(n, np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+    stops = np.append(starts[1:], n)
+    many = stops - starts > 1
+    a0, a1 = starts[many], stops[many]
+    b0, b1, err = a0, a1, np.zeros(len(a0), np.int64)
+    for bit in range(63 - lead, -2, -1):
         small = ((a1 - a0) <= leaf) & ((b1 - b0) <= leaf) if bit >= 0 else np.ones(len(a0), bool)
-        _compare(fps, a0[small], a1[small], b0[small], b1[small], most, forest)
+        _compare(turned, a0[small], a1[small], b0[small], b1[small], rule, labels, words, sizes)
         a0, a1, b0, b1, err = (v[~small] for v in (a0, a1, b0, b1, err))
         if not len(a0):
             break
-        # ranges share all bits above this one, so the cut is where it turns to 1
-        mask = np.uint64(1) << np.uint64(bit)
-        am, bm = _cut(fps, a0, a1, mask), _cut(fps, b0, b1, mask)
-        same = (a0 == b0) & (a1 == b1)
-        sides = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1), *([(x[~same] for x in (am, a1, b0, bm, err + 1))] if (~same).any() else [])]
-        a0, a1, b0, b1, err = (np.concatenate(v) for v in zip(*[tuple(s) for s in sides], strict=True))
-        keep = (a1 > a0) & (b1 > b0) & (err <= most)
+        am, bm = _cut(turned, a0, a1, bit), _cut(turned, b0, b1, bit)
+        apart = a0 != b0
+        sides = [(a0, am, b0, bm, err), (am, a1, bm, b1, err), (a0, am, bm, b1, err + 1), (am[apart], a1[apart], b0[apart], bm[apart], err[apart] + 1)]
+        a0, a1, b0, b1, err = (np.concatenate(v) for v in zip(*sides, strict=True))
+        keep = (a1 > a0) & (b1 > b0) & (err <= rule.most)
         a0, a1, b0, b1, err = (v[keep] for v in (a0, a1, b0, b1, err))
-    return np.array([forest.root(i) for i in range(n)])
-
-
-def _cut(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, mask: np.uint64) -> np.ndarray:
-    """First index in each [lo, hi) whose fingerprint has the bit, which is set in a tail of the range."""
-    below = (fps[lo] >> np.uint64(int(mask).bit_length() - 1)) << np.uint64(int(mask).bit_length() - 1)
-    return np.clip(np.searchsorted(fps, below | mask), lo, hi)
-
-
-def _compare(fps, a0, a1, b0, b1, most, forest) -> None:
-    """Links all pairs within the budget of node pairs of a few leaves, many node pairs at a time."""
-    for at in range(0, len(a0), 4096):
-        x0, x1, y0, y1 = (v[at : at + 4096] for v in (a0, a1, b0, b1))
-        nx, ny = x1 - x0, y1 - y0
-        size = nx * ny
-        pair = np.repeat(np.arange(len(size)), size)
-        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        i, j = x0[pair] + k // ny[pair], y0[pair] + k % ny[pair]
-        near = (np.bitwise_count(fps[i] ^ fps[j]) <= most) & (i != j)
-        for p, q in zip(i[near].tolist(), j[near].tolist(), strict=True):
-            forest.link(p, q)
-
-
-def links(fps: DataFrame, most: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """a, b: links that connect the distinct fingerprints of `fp` as all pairs of at most `most` bits would."""
-    cuts = [64 * k // (most + 1) for k in range(most + 2)]
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1).alias("value")) for k in range(most + 1)])
-    dealt = fps.select("fp", F.explode(blocks).alias("k")).select("fp", "k.block", "k.value")
-    hot = written(dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows), "simhash-hot")
-    # chunk pairs (i <= j): chunk s goes to all pairs that it is part of
-    many = F.ceil(F.col("n") / group_rows).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
+    return labels.of
+
+
+def _cut(turned: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
+    """Where in each range, whose fingerprints share all bits above, the bit turns from 0 to 1."""
+    shift = np.uint64(bit)
+    return np.clip(np.searchsorted(turned, ((turned[lo] >> shift) | np.uint64(1)) << shift), lo, hi)
+
+
+def _compare(turned, a0, a1, b0, b1, rule, labels, words, sizes, pairs: int = 1 << 20) -> None:
+    """Links all pairs within the rule of node pairs of a few leaves, about `pairs` at a time."""
+    size = (a1 - a0) * (b1 - b0)
+    cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + pairs, pairs), side="right")
+    for lo, hi in zip(cuts, [*cuts[1:], len(size)], strict=True):
+        if lo >= hi:
+            continue
+        count = size[lo:hi]
+        pair = np.repeat(np.arange(lo, hi), count)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
+        ny = (b1 - b0)[pair]
+        i, j = a0[pair] + k // ny, b0[pair] + k % ny
+        near = (i != j) & (np.bitwise_count(turned[i] ^ turned[j]) <= rule.most)
+        i, j = i[near], j[near]
+        if words is not None:
+            near = labels.of[i] != labels.of[j]
+            i, j = i[near], j[near]
+            ok = np.minimum(sizes[i], sizes[j]) >= rule.ratio * np.maximum(sizes[i], sizes[j])
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= rule.total
+            i, j = i[ok], j[ok]
+        labels.link(i, j)
+
+
+def _forest(table_: pa.Table, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node ids) of rows of one block and chunk pair."""
+    turned = table_.column("turned").to_numpy().view(np.uint64)
+    order = np.argsort(turned, kind="stable")
+    node = table_.column("node").to_numpy()[order]
+    words = sizes = None
+    if rule.parts > 1:
+        words = table_.column("fps").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, rule.parts)[order]
+        sizes = table_.column("n").to_numpy()[order]
+    root = trie_links(turned[order], 64 // rule.blocks, rule, words, sizes)
+    odd = node != node[root]
+    return node[odd], node[root[odd]]
+
+
+def links(nodes: DataFrame, rule: Rule, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """a, b: links that connect node, fps, n (distinct nodes) as all pairs within the rule would."""
+    lead = 64 // rule.blocks
+
+    def turn(fp, k):
+        return F.shiftleft(fp, k * lead).bitwiseOR(F.shiftrightunsigned(fp, 64 - k * lead)) if k else fp
+
+    each = [F.struct(F.lit(p * rule.blocks + k).alias("block"), turn(F.get("fps", p), k).alias("turned")) for p in range(rule.parts) for k in range(rule.blocks)]
+    carried = ["fps", "n"] if rule.parts > 1 else []
+    dealt = nodes.select("node", *carried, F.explode(F.array(*each)).alias("k")).select("node", *carried, "k.block", "k.turned", F.shiftrightunsigned("k.turned", 64 - lead).alias("value"))
+    hot = written(dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group_rows), "simhash-hot")
+    # a hot group's chunk s goes to each pair of chunks (i <= j) that it is part of
+    many = F.coalesce(F.ceil(F.col("rows") / group_rows).cast("int"), F.lit(1))
+    salt = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
     chunks = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(F.col("s"), j).alias("i"), F.greatest(F.col("s"), j).alias("j")))
-    salted = dealt.join(hot, ["block", "value"], "left").withColumn("m", F.coalesce(many, F.lit(1))).withColumn("s", mine)
-    salted = salted.select("fp", "block", "value", F.explode(chunks).alias("c")).select("fp", "block", "value", "c.i", "c.j")
+    salted = dealt.join(hot, ["block", "value"], "left").withColumn("m", many).withColumn("s", salt)
+    salted = salted.select("node", *carried, "block", "value", "turned", F.explode(chunks).alias("c")).select("node", *carried, "block", "value", "turned", "c.i", "c.j")
 
-    def join(table: pa.Table) -> pa.Table:
-        f = np.unique(table.column("fp").to_numpy().view(np.uint64))
-        root = trie_links(f, most)
-        odd = root != np.arange(len(f))
-        return pa.table({"a": f[odd].view(np.int64), "b": f[root[odd]].view(np.int64)})
-
-    return salted.groupBy("block", "value", "i", "j").applyInArrow(join, "a long, b long")
+    def run(batches):
+        """Rows come by block, chunk pair and value; whole groups are joined when enough have come."""
+        held: list[pa.Table] = []
+        rows = 0
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held.append(t)
+            rows += t.num_rows
+            if rows >= CHUNK_ROWS:
+                whole = pa.concat_tables(held)
+                cut = _last_group(whole)
+                yield from joined(whole.slice(0, cut))
+                held, rows = [whole.slice(cut)], whole.num_rows - cut
+        if rows:
+            yield from joined(pa.concat_tables(held))
+
+    def joined(whole: pa.Table):
+        if not whole.num_rows:
+            return
+        key = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in ("block", "i", "j")])
+        starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+        found = [_forest(whole.slice(s, e - s), rule) for s, e in zip(starts, [*starts[1:], whole.num_rows], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return salted.repartition("block", "value", "i", "j").sortWithinPartitions("block", "i", "j", "value").mapInArrow(run, "a long, b long")
+
+
+def _last_group(t: pa.Table) -> int:
+    """Where the last group begins, which may not be whole yet."""
+    keys = [t.column(c).to_numpy() for c in ("block", "i", "j", "value")]
+    same = np.logical_and.reduce([k == k[-1] for k in keys])
+    return int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,13 +278,14 @@ def components(edges: DataFrame) -> DataFrame:
             return now.df.select("node", "root")
 
 
-def classes(fps: DataFrame, most: int = 3) -> DataFrame:
-    """fp, component_id (smallest doc_id of its component) for doc_id, fp; a component with null ids only has null."""
-    each = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    found = components(links(each.select("fp"), most))
-    rooted = each.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def classes(fps: DataFrame, rule: Rule) -> DataFrame:
+    """node, component_id (smallest doc_id of its component) for doc_id, node, fps, n; a component with null ids only has null."""
+    each = written(fps.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("n").alias("n")), "fingerprints")
+    edges = written(links(each.select("node", "fps", "n"), rule), "links")
+    found = components(edges)
+    rooted = each.select("node", "first").join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("node", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
@@ -189,9 +296,38 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
     rows come back as often; rows with a null doc_id have a component but never name one, unless all of
     it have none: then it is null.
     """
-    fps = written(fingerprints(docs, words), "simhash")
-    made = written(classes(fps, most), "simhash-classes")
-    return fps.join(made, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = written(fingerprints(docs, words).select("doc_id", F.get("fps", 0).alias("node"), "fps", "n"), "simhash")
+    made = written(classes(fps, Rule(blocks=most + 1, most=most, total=most)), "simhash-classes")
+    return fps.join(made, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_texts(docs: DataFrame, words: int = 5, rule: Rule = SIMILAR) -> DataFrame:
+    """doc_id, r1, r2 (row key), component_id of each row: texts linked where their sets of shingles are similar by the rule.
+
+    Texts of fewer than `words` words are one shingle, texts without words have none and are one group.
+    The rest is as in near_duplicates().
+    """
+    fps = fingerprints(docs, words, rule.parts, distinct=True)
+    fps = written(fps.withColumn("node", F.xxhash64("fps", "n")), "simhash")
+    made = written(classes(fps, rule), "simhash-classes")
+    return fps.select("doc_id", "r1", "r2", "node").join(made, "node").select("doc_id", "r1", "r2", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, rule: Rule = SIMILAR) -> DataFrame:
+    """docs with one row of each group of similar texts: that of the smallest doc_id (a null is largest; ties: of the smaller key of id and text)."""
+    found = written(similar_texts(docs, words, rule), "simhash-groups")
+    # groups without any id meet by row key: each key is then a group of its own text at least
+    group = F.coalesce(F.col("component_id"), F.lit(None).cast("long"))
+    first = found.groupBy(group.alias("component_id"), F.when(group.isNull(), F.col("r1")).alias("nameless")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("row"))
+    keys = first.select(F.col("row.r1").alias("__k1"), F.col("row.r2").alias("__k2"))
+    times = found.groupBy(F.col("r1").alias("__k1"), F.col("r2").alias("__k2")).agg(F.count(F.lit(1)).alias("__times"))
+    keys = written(keys.join(times, ["__k1", "__k2"]), "simhash-kept")
+    r1, r2 = row_keys(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    kept = docs.withColumns({"__k1": r1, "__k2": r2}).join(keys.hint("shuffle_hash"), ["__k1", "__k2"])
+    single = kept.where(F.col("__times") == 1)
+    if keys.where(F.col("__times") > 1).limit(1).count():  # rows that are alike in id and text
+        single = single.union(kept.where(F.col("__times") > 1).dropDuplicates(["__k1", "__k2"]))
+    return single.select(*docs.columns)
 
 
 def query(spark, sf_dir) -> DataFrame:
