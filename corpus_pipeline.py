@@ -1,8 +1,66 @@
-"""The corpus pipeline: stages of the corpus operators over documents."""
+"""The corpus pipeline: documents are filtered, lose repeated lines, lose near copies, are mixed by source and packed.
 
-STAGES = []
+Each stage takes all that the one before kept, written as Parquet and read again, and returns the columns
+of documents; the last adds the packing to them. run() gives the last stage's rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import op02_lines, op03_simhash, op07_mixing, op08_quality, op09_packing
+from graphloom.llm.common import table, written
+
+
+def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs; n_chars, if it is one of them, is the text's length again."""
+    return df.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on labels outside the held-out fold, predicts to be good."""
+    model = op08_quality.fit(docs, table(spark, sf_dir, "labels"))
+    return op08_quality.score(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; lines that two or more documents hold stay in the one with the smallest id."""
+    return _like(op02_lines.dedup_lines(docs), docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose sets of five-word shingles are similar (0.8)."""
+    return op03_simhash.one_of_each(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: 0, 1 or 2 times, documents without words not at all."""
+    taken = op07_mixing.mix(docs)
+    times = F.floor(F.col("taken") / F.nullif("size", F.lit(0))).cast("int")
+    copies = F.explode(F.array_repeat(F.lit(0), F.coalesce(times, F.lit(0))))
+    return taken.select(*docs.columns, copies.alias("__copy")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows with their bucket, batch and slot."""
+    return op09_packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", without_repeated_lines),
+    ("SimHash near-dedup", without_near_copies),
+    ("mixing sources to target weights", mixed),
+    ("packing", packed),
+]
+
+#: The classifier, the fingerprints and the packing can't be said in SQL: tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
