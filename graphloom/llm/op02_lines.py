@@ -36,7 +36,7 @@ def shared_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Dat
     if min_docs == 2:  # two distinct ids: smallest and largest differ, no need to list them
         found = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("nameless"))
         return found.where((F.col("owner") < F.col("last")) | (F.col("nameless") & F.col("owner").isNotNull())).select("h1", "h2", "owner")
-    found = keys.groupBy("h1", "h2", "doc_id").agg().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner"))
+    found = keys.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner"))
     return found.where(F.col("n") >= min_docs).select("h1", "h2", "owner")
 
 
@@ -50,16 +50,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
     each come back, alike. A null doc_id ranks after all ids. Columns of the names made are replaced.
     """
     shared = written(shared_lines(docs.select("doc_id", "text"), min_docs, min_chars), "shared-lines")
-    dropped = _keys(docs.select("doc_id", "text"), min_chars).join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("r1", "r2").agg(F.collect_set("pos").alias("__drop"))
+    dropped = _keys(docs.select("doc_id", "text"), min_chars).join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("r1", "r2").agg(F.collect_set("pos").alias("__drop")).withColumnsRenamed({"r1": "__d1", "r2": "__d2"})
     dropped = dropped.hint("shuffle_hash")  # positions are few beside texts: texts stream past them unsorted
     text = F.coalesce(F.col("text"), F.lit(""))
     r1, r2 = row_keys(F.col("doc_id"), text)
     kept = keep_columns(docs, MADE)
-    got = kept.withColumns({"__r1": r1, "__r2": r2}).join(dropped, (F.col("__r1") == F.col("r1")) & (F.col("__r2") == F.col("r2")), "left")
-    lines = F.split(text, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
+    got = kept.withColumns({"__r1": r1, "__r2": r2}).join(dropped, (F.col("__r1") == F.col("__d1")) & (F.col("__r2") == F.col("__d2")), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
     new = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    got = got.withColumn("__lines", lines)
+    got = got.withColumn("__lines", F.split(text, "\n", -1))
     return got.select(*[new.alias(c) if c == "text" else F.col(c) for c in kept.columns], F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
 

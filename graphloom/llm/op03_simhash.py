@@ -323,11 +323,13 @@ def one_of_each(docs: DataFrame, words: int = 5, rule: Rule = SIMILAR) -> DataFr
     times = found.groupBy(F.col("r1").alias("__k1"), F.col("r2").alias("__k2")).agg(F.count(F.lit(1)).alias("__times"))
     keys = written(keys.join(times, ["__k1", "__k2"]), "simhash-kept")
     r1, r2 = row_keys(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    held = [c for c in docs.columns if c.lower() in ("__k1", "__k2", "__times")]
+    docs = docs.withColumnsRenamed({c: f"__held{c}" for c in held})
     kept = docs.withColumns({"__k1": r1, "__k2": r2}).join(keys.hint("shuffle_hash"), ["__k1", "__k2"])
     single = kept.where(F.col("__times") == 1)
     if keys.where(F.col("__times") > 1).limit(1).count():  # rows that are alike in id and text
         single = single.union(kept.where(F.col("__times") > 1).dropDuplicates(["__k1", "__k2"]))
-    return single.select(*docs.columns)
+    return single.select(*docs.columns).withColumnsRenamed({f"__held{c}": c for c in held})
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
-from graphloom.llm.vectors import clean, matrix, result, search, top
+from graphloom.llm.vectors import clean, matrix, query_columns, result, search, top
 
 #: Standard errors within which estimates count as bounded: 3 loses one pair in about 700 near the bar.
 EPSILON = 3.0
@@ -92,7 +92,7 @@ def nearest(data: pa.Table, asked: pa.Table, k: int, epsilon: float = EPSILON) -
     code = np.frombuffer(b"".join(data.column("code").to_pylist()), dtype=np.uint64).reshape(len(x), -1)
     norm, own = data.column("norm").to_numpy(), data.column("own").to_numpy()
     error = norm * np.sqrt(np.maximum(1 - own**2, 0)) / own * epsilon / np.sqrt(max(code.shape[1] * 64 - 1, 1))
-    qx, qid, qrow = matrix(asked), asked.column("query_id").to_numpy(), asked.column("row").to_numpy()
+    qx, qid, qrow = matrix(asked, "query_vector"), asked.column("query_id").to_numpy(), asked.column("query_row").to_numpy()
     qnorm = np.linalg.norm(qx, axis=1)
     turned = (qx / qnorm[:, None]) @ rotation(x.shape[1]).T
     for at in range(0, len(qx), 64):
@@ -122,7 +122,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, epsilon
     the inner product of the original vectors in double precision. Fewer than k candidates: all.
     """
     rows = coded(clean(vectors, zero=False))
-    queries = rows.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"), "embedding")
+    queries = rows.where(F.col("vec_id") % every == 0).select(*query_columns())
     return search(rows, queries, k, lambda data, asked: nearest(data, asked, k, epsilon), "double")
 
 

@@ -60,12 +60,12 @@ def _odds(x):
 
 def _with_rank(rows: DataFrame) -> DataFrame:
     """__order: Pareto rank (random odds over inclusion odds), then u, text hash and id for ties; null where no copy is open."""
-    rank = _odds(F.col("__u")) / _odds(F.col("p"))
-    return rows.withColumn("__order", F.when((F.col("p") > 0) & (F.col("size") > 0), F.struct(rank.alias("rank"), F.col("__u").alias("u"), F.col("__t").alias("t"), F.col("doc_id").alias("id"))))
+    rank = _odds(F.col("__u")) / _odds(F.col("__p"))
+    return rows.withColumn("__order", F.when((F.col("__p") > 0) & (F.col("size") > 0), F.struct(rank.alias("rank"), F.col("__u").alias("u"), F.col("__t").alias("t"), F.col("doc_id").alias("id"))))
 
 
 def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row a source: __s, source_size, target, whole, p, cut, best.
+    """One row a source: __s, source_size, target, __whole, __p, __cut, __best.
 
     Documents get `whole` copies, those before `cut` in the order (all, if cut is null) one more, and so does `best`.
     """
@@ -74,7 +74,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     size = F.nullif(F.col("source_size"), F.lit(0))
     goal = goal.withColumn("whole", F.coalesce(F.floor(F.col("target") / size), F.lit(0)).cast("long"))
     goal = goal.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = written(goal.withColumn("p", F.coalesce(F.col("need") / size, F.lit(0.0))).withColumnRenamed("source", "__s"), "mix-goals")
+    goal = written(goal.withColumn("__p", F.coalesce(F.col("need") / size, F.lit(0.0))).withColumnRenamed("source", "__s"), "mix-goals")
     of = lambda small: F.col("source").eqNullSafe(small["__s"])
     ranked = _with_rank(rows.join(goal, of(goal))).where(F.col("__order").isNotNull()).drop("__s")
     ranked = ranked.withColumn("bin", F.floor(F.col("__u") * BINS).cast("int"))
@@ -94,7 +94,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     miss = F.abs(F.col("size") - gap)
     spare = ranked.join(cut, of(cut)).where((F.col("__order") >= F.col("cut")) & (miss < gap))
     spare = spare.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), F.col("__order").alias("order"))).alias("best")).select(F.col("source").alias("__b"), F.col("best.order").alias("best"))
-    goal = goal.select("__s", "source_size", "target", "whole", "p")
+    goal = goal.select("__s", "source_size", "target", "whole", "__p")
     joined = goal.join(cut.select(F.col("__s").alias("__c"), "cut"), F.col("__s").eqNullSafe(F.col("__c")), "left")
     return joined.join(spare, F.col("__s").eqNullSafe(F.col("__b")), "left").drop("__b", "__c")
 
@@ -115,10 +115,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """
     base = keep_columns(docs, MADE)
     rows = written(_ranked(base.select("doc_id", "source", "text"), seed).drop("text"), "mix-sizes")
-    made = written(plan(rows, weights, share, most), "mix-plan")
+    made = plan(rows, weights, share, most).withColumnsRenamed({"whole": "__whole", "cut": "__cut", "best": "__best"})
+    made = written(made, "mix-plan")
     out = _with_rank(_ranked(base, seed).join(made, F.col("source").eqNullSafe(F.col("__s"))))
-    more = F.col("__order").isNotNull() & (F.col("cut").isNull() | (F.col("__order") < F.col("cut")) | F.coalesce(F.col("__order") == F.col("best"), F.lit(False)))
-    taken = F.col("size") * (F.col("whole") + more.cast("long"))
+    more = F.col("__order").isNotNull() & (F.col("__cut").isNull() | (F.col("__order") < F.col("__cut")) | F.coalesce(F.col("__order") == F.col("__best"), F.lit(False)))
+    taken = F.col("size") * (F.col("__whole") + more.cast("long"))
     return out.select(*base.columns, "size", "source_size", "target", taken.alias("taken"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
-from graphloom.llm.vectors import clean, matrix, result, search, top
+from graphloom.llm.vectors import clean, matrix, query_columns, result, search, top
 
 SCALE = 256
 #: Depths of the rounds as shares of the lists, queries read together, and the share of rows that may be left to resolve.
@@ -57,12 +57,11 @@ def best_scores(data: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     out: tuple[list, list, list, list] = ([], [], [], [])
     if not data.num_rows or not asked.num_rows:
         return result(*out, pa.int64())
-    whole = lambda t: np.floor(SCALE * matrix(t))
-    v, qv = whole(data), whole(asked)
+    v, qv = np.floor(SCALE * matrix(data)), np.floor(SCALE * matrix(asked, "query_vector"))
     if np.abs(v).max() * np.abs(qv).max() * v.shape[1] >= 2**53:
         v, qv = (_exact_ints(x) for x in (v, qv))
     ids, rows = data.column("vec_id").to_numpy(), data.column("row").to_numpy()
-    qid, qrow = asked.column("query_id").to_numpy(), asked.column("row").to_numpy()
+    qid, qrow = asked.column("query_id").to_numpy(), asked.column("query_row").to_numpy()
     lists = Lists(v)
     for a in range(0, len(qv), TOGETHER):
         q = qv[a : a + TOGETHER]
@@ -113,7 +112,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     smaller vec_id. A score over 64 bits is an error. Fewer than k candidates: all.
     """
     rows = clean(vectors, zero=True)
-    queries = rows.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"), "embedding")
+    queries = rows.where(F.col("vec_id") % every == 0).select(*query_columns())
     return search(rows, queries, k, lambda data, asked: best_scores(data, asked, k), "long")
 
 

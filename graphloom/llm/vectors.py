@@ -39,6 +39,11 @@ def matrix(table: pa.Table, name: str = "embedding") -> np.ndarray:
     return np.asarray(table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(table.num_rows, -1)
 
 
+def query_columns() -> list:
+    """query_row, query_id, query_vector of rows: new names, as both sides of a cogroup must not share columns."""
+    return [F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")]
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int, best: Callable[[pa.Table, pa.Table], pa.Table], score_type: str) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best of all rows but its own.
 
@@ -49,10 +54,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int, best: Callable[[pa.Table
     """
     n = rows.count()
     db, qb = max(1, min(n, max(PARTS, -(-n // MOST)))), max(1, -(-queries.count() // MOST_QUERIES))
-    part = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    part = lambda row, n: F.pmod(F.xxhash64(row), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select("*", part(db).alias("d"), every(qb).alias("q"))
-    asked = queries.select("*", part(qb).alias("q"), every(db).alias("d"))
+    data = rows.select("*", part("row", db).alias("d"), every(qb).alias("q"))
+    asked = queries.select("*", part("query_row", qb).alias("q"), every(db).alias("d"))
     found = data.groupBy("d", "q").cogroup(asked.groupBy("d", "q")).applyInArrow(best, f"q long, query_id long, vec_id long, score {score_type}")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
