@@ -85,7 +85,7 @@ def histogram(sized: DataFrame, bins: Bins) -> list:
     return sized.groupBy(bins.of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("sum")).orderBy("bin").collect()
 
 
-def pack(docs: DataFrame, buckets: int = 12, budget: int = 16384, bins: Bins = Bins(), shard_rows: int = 2048, tokens: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = 12, budget: int = 16384, bins: Bins = Bins(), shard_rows: int = 2048, shard_tokens: int = 1 << 20, tokens: str | None = None) -> DataFrame:
     """docs with n_tokens, bucket (from 0, shortest first), bucket_tokens (padded length), batch, slot.
 
     n_tokens is the column `tokens`, or else the number of words (null text: 0). A batch of a bucket
@@ -97,24 +97,26 @@ def pack(docs: DataFrame, buckets: int = 12, budget: int = 16384, bins: Bins = B
     base = keep_columns(docs, MADE)
     n = F.coalesce(F.col(tokens).cast("long"), F.lit(0).cast("long")) if tokens else count_words(F.col("text"))
     r1, r2 = row_keys(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    rows = base.withColumns({"n_tokens": n, "__r1": r1, "__r2": r2})
+    # inline() keeps the optimizer from counting the words again wherever n_tokens is used
+    rows = base.select("*", F.inline(F.array(F.struct(n.alias("n_tokens"), r1.alias("__r1"), r2.alias("__r2")))))
     sized = written(rows.select("n_tokens", "__r1"), "pack-lengths")  # counted once, read for the histogram and for the shards
     found = histogram(sized, bins)
     ends = boundaries([r.longest for r in found], [r.n for r in found], [r["sum"] for r in found], buckets)
     if not ends:
         return rows.drop("__r1", "__r2").selectExpr("*", "0 AS bucket", "0L AS bucket_tokens", "0L AS batch", "0L AS slot")
-    docs_in = [0] * len(ends)
+    docs_in, tokens_in = [0] * len(ends), [0] * len(ends)
     for r in found:
-        docs_in[int(np.searchsorted(ends, r.longest))] += r.n
-    shards = [max(1, -(-k // shard_rows)) for k in docs_in]
+        k = int(np.searchsorted(ends, r.longest))
+        docs_in[k] += r.n
+        tokens_in[k] += r["sum"]
+    # a shard is a task's share: about shard_rows documents, fewer where they are long
+    shards = [max(1, -(-k // shard_rows), -(-t // shard_tokens)) for k, t in zip(docs_in, tokens_in, strict=True)]
     fits = [max(1, budget // max(e, 1)) for e in ends]
     at = lambda xs, kind: F.element_at(F.array(*[F.lit(x).cast(kind) for x in xs]), F.col("bucket") + 1)
 
     def placed(df: DataFrame) -> DataFrame:
         """bucket, and shard of it"""
-        bucket = F.lit(len(ends) - 1)
-        for k in reversed(range(len(ends) - 1)):
-            bucket = F.when(F.col("n_tokens") <= ends[k], k).otherwise(bucket)
+        bucket = sum((F.col("n_tokens") > e).cast("int") for e in ends[:-1]) + F.lit(0)
         return df.withColumn("bucket", bucket).withColumn("__shard", F.pmod(F.col("__r1"), at(shards, "long")))
 
     counts = placed(sized).groupBy("bucket", "__shard").agg(F.count(F.lit(1)).alias("n"))
