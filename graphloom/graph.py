@@ -93,6 +93,16 @@ class PropertyGraph:
         made = missing.select("id", F.col("id").alias("name"), F.lit(None).cast("string").alias("type"), F.array().cast("array<string>").alias("labels"), F.create_map().cast("map<string,string>").alias("props"))
         return PropertyGraph(self.nodes.unionByName(made), edges)
 
+    def relate(self, pairs: DataFrame) -> PropertyGraph:
+        """Edges for rows of src_label, src_name, dst_label, dst_name, type: from each node of the first label and name to each of the second, so n x m of them.
+
+        Two equi-joins; pairs without a node on either side give no edge.
+        """
+        end = lambda side: self.nodes.select(F.explode("labels").alias(f"{side}_label"), F.col("name").alias(f"{side}_name"), F.col("id").alias(side))
+        made = pairs.join(end("src"), ["src_label", "src_name"]).join(end("dst"), ["dst_label", "dst_name"])
+        empty = F.create_map().cast("map<string,string>")
+        return PropertyGraph(self.nodes, self.edges.unionByName(made.select(F.concat_ws("|", "type", "src", "dst").alias("id"), "src", "dst", "type", empty.alias("props"))))
+
     def delete_nodes(self, where: Column, detach: bool = False) -> PropertyGraph:
         """Without detach, a node that still has edges is an error; with it, its edges go too."""
         gone = self.nodes.where(where).select("id")
