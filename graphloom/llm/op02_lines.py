@@ -21,10 +21,11 @@ def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """r1, r2 (row), doc_id, pos, h1, h2 (line) for each line whose key is long enough."""
     text = F.coalesce(F.col("text"), F.lit(""))
     r1, r2 = row_keys(F.col("doc_id"), text)
-    lines = docs.select(F.col("doc_id"), r1.alias("r1"), r2.alias("r2"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    keyed = lines.select("r1", "r2", "doc_id", "pos", ascii_lower(F.btrim("line", F.lit(SPACE))).alias("key"))
-    h1, h2 = row_keys(F.col("key"))
-    return keyed.where(F.char_length("key") >= min_chars).select("r1", "r2", "doc_id", "pos", h1.alias("h1"), h2.alias("h2"))
+    # the trimmed line is a column of the generator, so it is made once, not for each use
+    keys = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(SPACE)))
+    keyed = docs.select(F.col("doc_id"), r1.alias("r1"), r2.alias("r2"), F.posexplode(keys).alias("pos", "key")).where(F.char_length("key") >= min_chars)
+    h1, h2 = row_keys(ascii_lower(F.col("key")))
+    return keyed.select("r1", "r2", "doc_id", "pos", h1.alias("h1"), h2.alias("h2"))
 
 
 def shared_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:
