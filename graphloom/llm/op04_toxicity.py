@@ -3,13 +3,14 @@
 Both dictionaries begin with the same content, trained on ordinary text, so windows of ordinary words
 compress alike; they end in segments of their own class, as long in both. A window with words of the
 toxic segment gets shorter with the toxic dictionary. Wide windows over the whole text are compared
-first; around those that gain, short windows from each word on are, and the best mean gain of neighbours
-and the number of gaining places go into a logistic calibration. Training reads a bounded sample of
+first; around those that gain, short windows from each word on are. The best mean gain of two neighbours and
+the number of gaining places make one figure, whose thresholds are calibrated by isotonic regression. Training reads a bounded sample of
 labelled documents; scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import re
@@ -28,7 +29,9 @@ from graphloom.llm.op08_quality import labelled
 MADE = ["held_out", "score", "predicted"]
 #: Labelled documents that are learnt from, at most, and the code points that one may have for that. Scoring has no such bounds.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 200_000
-WIDE, OVERLAP, SHORT, LEVEL = 64, 16, 24, 1
+WIDE, OVERLAP, SHORT = 64, 16, 24
+#: Search for matches of five bytes or more, a few tries deep: finds single words, and costs little more than the quickest.
+_SEARCH = {"window_log": 14, "hash_log": 14, "chain_log": 14, "search_log": 3, "min_match": 5, "strategy": zstandard.STRATEGY_GREEDY}
 #: Bytes by which the toxic dictionary must make a wide window shorter for a closer look, and a place for it to count.
 GAIN, PLACE = 3, 4.0
 _WORD = re.compile(rb"(?<![^\x20\n])\S")
@@ -43,9 +46,10 @@ def _windows(text: bytes) -> list[bytes]:
 def _compressors(toxic: bytes, ordinary: bytes):
     made = []
     for content in (toxic, ordinary):
+        how = zstandard.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, **_SEARCH)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        d.precompute_compress(compression_params=how)
+        made.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress)
     return made
 
 
@@ -53,12 +57,14 @@ def _compressors(toxic: bytes, ordinary: bytes):
 class Model:
     toxic: bytes
     ordinary: bytes
-    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    #: Figures from which each probability of label 1 holds, and those, both ascending.
+    starts: tuple[float, ...] = (-math.inf,)
+    shares: tuple[float, ...] = (0.5,)
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """The best gain of two neighbouring short windows, and the logarithm of one more than the places that gain."""
+    def figure(self, text: str | None) -> float:
+        """The best mean gain of two neighbouring short windows, plus the logarithm of one more than the places that gain."""
         if self.toxic == self.ordinary:
-            return 0.0, 0.0
+            return 0.0
         t, o = _compressors(self.toxic, self.ordinary)
         whole, best, places = (text or "").lower().encode("utf-8", "surrogatepass"), 0.0, 0
         for k, w in enumerate(_windows(whole)):
@@ -68,11 +74,34 @@ class Model:
                 gains = [len(o(x)) - len(t(x)) for x in (b" " + near[m.start() : m.start() + SHORT] for m in _WORD.finditer(near, 0, len(near) - 4))]
                 top = max(((a + b) / 2 for a, b in zip(gains, gains[1:], strict=False)), default=float(max(gains, default=0)))
                 best, places = max(best, top), places + (top >= PLACE)
-        return best, math.log1p(places)
+        return best + math.log1p(places)
 
     def score(self, text: str | None) -> float:
-        b, *w = self.weights
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, b + sum(x * y for x, y in zip(w, self.features(text), strict=True))))))
+        """The share of label 1 at the text's figure; a thousandth of it orders texts of the same share."""
+        x = self.figure(text)
+        return 0.999 * self.shares[bisect.bisect_right(self.starts, x) - 1] + 0.001 * x / (x + 10)
+
+
+def calibrated(figures: list[float], labels: list[int]) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Isotonic regression: the ascending steps of the share of label 1 that fit best, each held to half a text of either label."""
+    blocks: list[list[float]] = []  # start, label 1, texts
+    for x, y in sorted(zip(figures, labels, strict=True)):
+        if blocks and blocks[-1][0] == x:
+            blocks[-1][1] += y
+            blocks[-1][2] += 1
+        else:
+            blocks.append([x, y, 1])
+    pooled: list[list[float]] = []
+    for b in blocks:
+        pooled.append(b)
+        while len(pooled) > 1 and pooled[-2][1] * pooled[-1][2] >= pooled[-1][1] * pooled[-2][2]:
+            _, k, n = pooled.pop()
+            pooled[-1][1] += k
+            pooled[-1][2] += n
+    if not pooled:
+        return (-math.inf,), (0.5,)
+    shares = np.maximum.accumulate([(k + 0.5) / (n + 1) for _, k, n in pooled])
+    return (-math.inf, *[b[0] for b in pooled[1:]]), tuple(float(v) for v in shares)
 
 
 def _telling(toxic: list[str], ordinary: list[str], least_z: float = 5.0, share: float = 0.05, most: int = 64) -> list[str]:
@@ -100,7 +129,7 @@ def _trained(samples: list[bytes], size: int, k: int) -> bytes:
 
 
 def train(rows: list[tuple[str, int]], size: int = 8192) -> Model:
-    """From (text, label). Without telling words in toxic texts, or with one label only, every text scores the share of label 1 (0.5 of no rows)."""
+    """From (text, label). Without telling words in toxic texts, or with one label only, every text scores the share of label 1 (0.5 without rows)."""
     toxic, ordinary = ([t for t, y in rows if y == k] for k in (1, 0))
     words = _telling(toxic, ordinary) if toxic and ordinary else []
     if words:
@@ -109,17 +138,11 @@ def train(rows: list[tuple[str, int]], size: int = 8192) -> Model:
         spread = every[:: max(1, len(every) // 12000)]
         base = _trained(spread, size, 64)
         other = _trained(spread[::-1][:6000], max(256, len(tail)), 16)[-len(tail) :].rjust(len(tail))
-        model = Model(base + tail, base + other)
+        end = spread[0].ljust(WIDE)  # the last bytes of a dictionary are not searched
+        model = Model(base + tail + end, base + other + end)
     else:
         model = Model(b"", b"")
-    x = np.array([(1.0, *model.features(t)) for t, _ in rows]).reshape(-1, 3)
-    y = np.array([v for _, v in rows], dtype=float)
-    w = np.zeros(3)
-    ridge = np.diag([1e-6, 1e-2, 1e-2])
-    for _ in range(30 if len(rows) else 0):  # Newton steps of a logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w), -4, 4)
-    model.weights = tuple(float(v) for v in np.clip(w, -30, 30))
+    model.starts, model.shares = calibrated([model.figure(t) for t, _ in rows], [y for _, y in rows])
     return model
 
 

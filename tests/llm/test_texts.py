@@ -527,3 +527,15 @@ def test_packing_odd(odd_docs, clashing):
     assert op09_packing.pack(odd_docs.limit(0)).count() == 0
     given = odd_docs.withColumn("tokens", F.when(F.col("doc_id") == 4, 5).cast("long"))
     assert {r.n_tokens for r in op09_packing.pack(given, tokens="tokens").collect()} == {0, 5}
+
+
+def test_calibration_is_isotonic():
+    rng = random.Random(4)
+    x = [rng.randrange(12) / 2 for _ in range(400)]
+    y = [int(rng.random() < v / 8) for v in x]
+    starts, shares = op04_toxicity.calibrated(x, y)
+    assert list(shares) == sorted(shares) and list(starts) == sorted(starts) and len(starts) == len(shares)
+    for a, b, p in zip(starts, [*starts[1:], 99], shares, strict=True):
+        inside = [k for v, k in zip(x, y, strict=True) if a <= v < b]
+        assert p >= (sum(inside) + 0.5) / (len(inside) + 1) - 1e-9
+    assert op04_toxicity.calibrated([], []) == ((float("-inf"),), (0.5,))
