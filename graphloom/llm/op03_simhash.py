@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Written, keep_columns, row_keys, slices, table, written
+from graphloom.llm.common import Written, row_keys, slices, table, written
 
 MADE = ["fingerprint", "component_id"]
 SEED = 42
 #: Rows of a chunk of a hot group, and rows that a task holds at a time besides.
-GROUP_ROWS, CHUNK_ROWS = 8192, 65536
+GROUP_ROWS, CHUNK_ROWS = 16384, 65536
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _TURNS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F)]
