@@ -15,10 +15,13 @@ def mentions(texts: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_co
     Runs of words are hashed and met with names in an equi-join, so neither side is tried against the other.
     """
     words = F.filter(F.split(F.lower(text_col), _BREAK), lambda w: w != "")
-    runs = texts.select(id_col, words.alias("w")).select(id_col, "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("i"))
-    each = runs.select(id_col, F.explode(F.array(*[F.when(F.col("i") + k - 1 <= F.size("w"), F.array_join(F.slice("w", F.col("i"), k), " ")) for k in range(1, most_words + 1)])).alias("run"))
+    held = texts.select(id_col, F.coalesce(words, F.array().cast("array<string>")).alias("w"))
+    none = F.array().cast("array<string>")
+    of = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(none)
+    runs = F.array_distinct(F.concat(F.col("w"), *[of(k) for k in range(2, most_words + 1)]))
+    each = held.select(id_col, F.explode(runs).alias("run"))
     names = nodes.select(F.col("name").alias("mention"), F.array_join(F.filter(F.split(F.lower("name"), _BREAK), lambda w: w != ""), " ").alias("run")).distinct()
-    return each.where(F.col("run").isNotNull() & (F.col("run") != "")).distinct().join(names, "run").select(id_col, "mention").distinct()
+    return each.join(names.where(F.col("run") != ""), "run").select(id_col, "mention").distinct()
 
 
 def capitalised(text: Column) -> Column:

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from graphloom import schema
 from graphloom.functions.columns import merge_maps
+from graphloom.shared import written
 
 
 class PropertyGraph:
     """nodes: id, name, type, labels, props; edges: id, src, dst, type, props."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame):
-        self.nodes, self.edges = nodes, edges
+    def __init__(self, nodes: DataFrame, edges: DataFrame, adjacency: DataFrame | None = None):
+        self.nodes, self.edges, self.adjacency = nodes, edges, adjacency
         self.spark: SparkSession = nodes.sparkSession
 
     @classmethod
@@ -58,8 +59,27 @@ class PropertyGraph:
         flag = lambda df, v: df.withColumn("is_incoming", F.lit(v))
         return flag(self.out_edges(node_id), False).unionByName(flag(self.in_edges(node_id), True))
 
+    def indexed(self) -> PropertyGraph:
+        """The same graph with nodes sorted by id and edges kept from both of their ends sorted by it, in the shared folder.
+
+        A step from a few nodes then reads the row groups that hold them, not all edges: worth it for a graph
+        that is asked more than once, or whose frames are costly to make.
+        """
+        adjacency = written(self.both_ways().repartitionByRange("here").sortWithinPartitions("here"), "adjacency")
+        nodes = written(self.nodes.repartitionByRange("id").sortWithinPartitions("id"), "nodes")
+        return PropertyGraph(nodes, self.edges, adjacency)
+
+    def around(self, ids: list[str]) -> DataFrame:
+        """both_ways() from a few nodes: their ids reach the scan as a filter, from whichever end they are."""
+        if self.adjacency is not None:
+            return self.adjacency.where(F.col("here").isin(ids))
+        seen = lambda here, there, flag: self.edges.where(F.col(here).isin(ids)).select(F.col("id").alias("edge_id"), F.col(here).alias("here"), F.col(there).alias("there"), "type", F.lit(flag).alias("is_incoming"))
+        return seen("src", "dst", False).unionByName(seen("dst", "src", True))
+
     def both_ways(self) -> DataFrame:
         """edge_id, here, there, type, is_incoming: each edge seen from both of its ends, in one scan."""
+        if self.adjacency is not None:
+            return self.adjacency
         ends = F.array(F.struct(F.col("src").alias("here"), F.col("dst").alias("there"), F.lit(False).alias("is_incoming")), F.struct(F.col("dst").alias("here"), F.col("src").alias("there"), F.lit(True).alias("is_incoming")))
         return self.edges.select(F.col("id").alias("edge_id"), "type", F.explode(ends).alias("e")).select("edge_id", "e.here", "e.there", "type", "e.is_incoming")
 

@@ -9,13 +9,14 @@ from graphloom.functions.columns import not_visited, relation_label
 from graphloom.graph import PropertyGraph
 
 
-def candidates(graph: PropertyGraph, frontier: DataFrame, visited: Column | None = None) -> DataFrame:
+def candidates(graph: PropertyGraph, frontier: DataFrame, visited: Column | None = None, ids: list[str] | None = None) -> DataFrame:
     """frontier (with last_id) x its edges: edge_id, type, there, is_incoming, and idx, the 1-based place in discovery order.
 
     Outgoing edges come first, then incoming, each by edge id. visited: an array column of the frontier whose
     nodes are not stepped to. The frontier's key for idx is its path_id, or last_id where it has none.
+    ids: the frontier's last_ids, where they are few and known, so that only their edges are read.
     """
-    found = frontier.join(graph.both_ways(), F.col("last_id") == F.col("here")).drop("here")
+    found = frontier.join(graph.both_ways() if ids is None else graph.around(ids), F.col("last_id") == F.col("here")).drop("here")
     if visited is not None:
         found = found.where(not_visited(visited, F.col("there")))
     key = "path_id" if "path_id" in frontier.columns else "last_id"
@@ -25,7 +26,7 @@ def candidates(graph: PropertyGraph, frontier: DataFrame, visited: Column | None
 def by_relation_ids(graph: PropertyGraph, frontier: DataFrame, relation_ids: list[str], visited: Column | None = None, faithful: bool = False) -> DataFrame:
     """Distinct (last_id, edge_id, next_id, is_incoming) over given edges, either direction.
 
-    faithful: over an incoming edge the step stays where it is, as the reference's query returns the start node.
+    faithful: over an incoming edge the step stays where it is, as if the start node were what the edge leads to.
     """
     found = frontier.join(graph.both_ways().where(F.col("edge_id").isin(relation_ids)), F.col("last_id") == F.col("here"))
     if visited is not None:

@@ -108,16 +108,16 @@ def assign_leaders(found: DataFrame, threshold: float = THRESHOLD, scope: str =
 def merge_entities(led: DataFrame) -> DataFrame:
     """leader_doc, leader_seq, id, name, type, aliases, description, attributes: each leader with what its members add.
 
-    Aliases are united (sorted), the first description that is not empty stays, later attributes win.
+    Aliases are united (sorted), the first description that is not empty stays, later attributes win. All of it combines
+    before the shuffle, so a leader's members never meet as a list.
     """
-    order = F.struct("doc_id", "seq")
-    rows = led.groupBy("leader_doc", "leader_seq").agg(F.array_sort(F.collect_list(F.struct("doc_id", "seq", "id", "name", "type", "aliases", "description"))).alias("rs"))
-    each = led.select("leader_doc", "leader_seq", order.alias("o"), F.explode("attributes").alias("k", "v")).groupBy("leader_doc", "leader_seq", "k").agg(F.max_by("v", "o").alias("v"))
-    props = each.groupBy("leader_doc", "leader_seq").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attributes"))
-    first = F.get("rs", 0)
-    described = F.get(F.filter("rs", lambda r: r["description"] != ""), 0)["description"]
-    out = rows.select("leader_doc", "leader_seq", first["id"].alias("id"), first["name"].alias("name"), first["type"].alias("type"), F.array_sort(F.array_distinct(F.flatten(F.transform("rs", lambda r: r["aliases"])))).alias("aliases"), F.coalesce(described, F.lit("")).alias("description"), F.size("rs").alias("n_rows"))
-    return out.join(props, ["leader_doc", "leader_seq"], "left").withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>")))
+    key, order = ["leader_doc", "leader_seq"], F.struct("doc_id", "seq")
+    described = F.when(F.col("description") != "", order)
+    rows = led.groupBy(*key).agg(F.min(F.struct("doc_id", "seq", "id", "name", "type")).alias("first"), F.collect_set("aliases").alias("sets"), F.min_by("description", described).alias("description"), F.max(described.isNotNull()).alias("has"), F.count(F.lit(1)).cast("int").alias("n_rows"))
+    each = led.select(*key, order.alias("o"), F.explode("attributes").alias("k", "v")).groupBy(*key, "k").agg(F.max_by("v", "o").alias("v"))
+    props = each.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("attributes"))
+    out = rows.select(*key, "first.id", "first.name", "first.type", F.array_sort(F.array_distinct(F.flatten("sets"))).alias("aliases"), F.when(F.col("has"), F.col("description")).otherwise("").alias("description"), "n_rows")
+    return out.join(props, key, "left").withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>")))
 
 
 def remap_ends(rows: DataFrame, led: DataFrame) -> DataFrame:

@@ -702,7 +702,7 @@ def text_functions(spark, d):
     return table(spark, d, "part").select("p_partkey", entity_id(F.col("p_name"), F.col("p_type")).alias("id"), uri_name(F.col("p_brand")).alias("uri"), local_name(F.concat(F.lit("http://x/y/"), F.col("p_type"))).alias("local"))
 
 
-# text, and what the reference has no counterpart for
+# text, and extensions
 
 
 @query("SELECT doc_id, n_name AS mention FROM documents JOIN nation ON list_contains(regexp_extract_all(lower(text), '[^ \\n]+'), lower(n_name))")
@@ -745,7 +745,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine best neighbours of a named nation, either direction, scored and ranked."""
     g = project(spark, sf_dir)
     seed = link.exact(spark.createDataFrame([("nation_3",)], "mention string"), g.nodes).select("id", "name")
-    found = expand.candidates(g, seed.select(F.col("id").alias("last_id")))
+    ids = explore.few_ids(seed, "id")
+    found = expand.candidates(g, seed.select(F.col("id").alias("last_id")), ids=ids)
     named = found.join(g.nodes.select(F.col("id").alias("there"), "name", F.col("type").alias("node_type")), "there")
     scored = named.withColumn("score", name_similarity(F.col("name"), F.lit("Which Customer lives in nation 3")))
     return prune.top_n(scored, ["last_id"], 9).select("last_id", "edge_id", "type", "there", "name", "node_type", "is_incoming", "score", "rank")

@@ -1,8 +1,8 @@
 """Beam search over a graph: from linked seeds, hop by hop, to the best paths for a question.
 
 A hop is a few joins over the whole frontier, whatever its number of paths. Frontiers after the first hold at
-most max_paths rows, a proven bound, and so are broadcast against the edges; each hop's paths are written to
-the shared folder, so plans do not grow. Scoring is a column expression; Judge and Answerer see at most max_paths rows.
+most max_paths rows: their ids are filters that reach the scans of edges and nodes (with PropertyGraph.indexed() a
+hop reads only what it meets), and they are broadcast. Each hop's paths are written to the shared folder, so plans do not grow. Scoring is a column expression; Judge and Answerer see at most max_paths rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,14 @@ from graphloom.operators.prune import bounded, first_n, top_n
 from graphloom.shared import written
 
 Scorer = Callable[[Column, str], Column]
+#: Nodes that are looked up by id rather than joined, at most.
+FEW = 1000
+
+
+def few_ids(df: DataFrame, column: str) -> list[str] | None:
+    """The distinct ids of a column if they are FEW at most."""
+    ids = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(FEW + 1).collect()]
+    return ids if len(ids) <= FEW else None
 
 
 def lexical(name: Column, question: str) -> Column:
@@ -48,7 +56,7 @@ def initial_paths(seeds: DataFrame) -> DataFrame:
 
 def relation_step(graph: PropertyGraph, paths: DataFrame, question: str, config: ExploreConfig) -> DataFrame:
     """paths x their best relations: edge_id, type, there, is_incoming, rel_score, rel_rank."""
-    found = candidates(graph, paths, F.col("visited"))
+    found = candidates(graph, paths, F.col("visited"), few_ids(paths, "last_id"))
     if config.faithful:
         return first_n(found, ["path_id"], config.max_relations).withColumn("rel_score", F.lit(None).cast("double")).withColumnRenamed("rank", "rel_rank").drop("idx")
     scored = found.withColumn("rel_score", config.relation_scorer(F.col("type"), question))
@@ -57,7 +65,10 @@ def relation_step(graph: PropertyGraph, paths: DataFrame, question: str, config:
 
 def entity_step(graph: PropertyGraph, related: DataFrame, question: str, config: ExploreConfig) -> DataFrame:
     """Paths longer by a triple, with the mean of relation and entity score as confidence; the best max_entities of each path and relation."""
-    names = graph.nodes.select(F.col("id").alias("there"), F.col("name").alias("there_name"))
+    related = written(related, "related")
+    ids = few_ids(related, "there")
+    nodes = graph.nodes if ids is None else graph.nodes.where(F.col("id").isin(ids))
+    names = nodes.select(F.col("id").alias("there"), F.col("name").alias("there_name"))
     met = related.join(names, "there").withColumn("ent_score", config.entity_scorer(F.col("there_name"), question))
     met = met.withColumn("idx", F.col("rel_rank"))
     kept = top_n(met, ["path_id", "edge_id"], config.max_entities, "ent_score")
@@ -78,7 +89,7 @@ def explore(graph: PropertyGraph, seeds: DataFrame, question: str, config: Explo
     After each hop judge, if given, sees the kept paths as text and may say that they suffice. Without a step
     from any seed there are no paths.
     """
-    frontier = initial_paths(seeds)
+    frontier = written(initial_paths(seeds), "seeds")
     kept: DataFrame | None = None
     for hop in range(1, config.max_iterations + 1):
         new = entity_step(graph, relation_step(graph, frontier, question, config), question, config)

@@ -104,7 +104,7 @@ def relation_statements(relations: DataFrame) -> DataFrame:
 
 
 def prose_statements(entities: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """Statements read from descriptions (description) the way the reference does: first word the subject, second the predicate, the rest without a last full stop the object.
+    """Statements read from descriptions (description) by position: first word the subject, second the predicate, the rest without a last full stop the object.
 
     Subject and object are entities whose names they are, without case (the first by seq); others give none.
     """

@@ -112,3 +112,15 @@ def test_judge_stops(spark, small):
 def test_initial_paths(small):
     r = initial_paths(small.by_ids(["a"]).select("id", "name")).first()
     assert r.confidence == 1.0 and r.visited == ["a"] and r.triples[0].object == "A"
+
+
+def test_indexed_graph_is_the_same(spark, small):
+    g = small.indexed()
+    assert sorted(map(str, g.both_ways().collect())) == sorted(map(str, small.both_ways().collect()))
+    for ids in (["a"], ["b", "c"], []):
+        assert sorted(map(str, g.around(ids).collect())) == sorted(map(str, small.around(ids).collect()))
+    whole = [r for r in small.both_ways().collect() if r.here in ("b", "c")]
+    assert sorted(map(str, small.around(["b", "c"]).collect())) == sorted(map(str, whole))
+    seeds = small.by_ids(["c"]).select("id", "name")
+    one, two = (explore(x, seeds, "B", ExploreConfig(max_iterations=2)).collect() for x in (small, g))
+    assert one == two and len(one) > 1
