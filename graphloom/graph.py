@@ -48,11 +48,15 @@ class PropertyGraph:
     def by_ids(self, ids: Iterable[str]) -> DataFrame:
         return self.nodes.where(F.col("id").isin(list(ids)))
 
+    def edges_from(self, ids: list[str], end: str = "src") -> DataFrame:
+        """Edges whose src (or dst) is one of a few nodes."""
+        return self.edges.where(F.col(end).isin(ids))
+
     def out_edges(self, node_id: str) -> DataFrame:
-        return self.edges.where(F.col("src") == node_id)
+        return self.edges_from([node_id])
 
     def in_edges(self, node_id: str) -> DataFrame:
-        return self.edges.where(F.col("dst") == node_id)
+        return self.edges_from([node_id], "dst")
 
     def edges_of(self, node_id: str) -> DataFrame:
         """Edges with is_incoming; a self-loop is both. A node that does not exist has none."""
@@ -73,7 +77,7 @@ class PropertyGraph:
         """both_ways() from a few nodes: their ids reach the scan as a filter, from whichever end they are."""
         if self.adjacency is not None:
             return self.adjacency.where(F.col("here").isin(ids))
-        seen = lambda here, there, flag: self.edges.where(F.col(here).isin(ids)).select(F.col("id").alias("edge_id"), F.col(here).alias("here"), F.col(there).alias("there"), "type", F.lit(flag).alias("is_incoming"))
+        seen = lambda here, there, flag: self.edges_from(ids, here).select(F.col("id").alias("edge_id"), F.col(here).alias("here"), F.col(there).alias("there"), "type", F.lit(flag).alias("is_incoming"))
         return seen("src", "dst", False).unionByName(seen("dst", "src", True))
 
     def both_ways(self) -> DataFrame:

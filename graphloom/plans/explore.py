@@ -67,7 +67,7 @@ def entity_step(graph: PropertyGraph, related: DataFrame, question: str, config:
     """Paths longer by a triple, with the mean of relation and entity score as confidence; the best max_entities of each path and relation."""
     related = written(related, "related")
     ids = few_ids(related, "there")
-    nodes = graph.nodes if ids is None else graph.nodes.where(F.col("id").isin(ids))
+    nodes = graph.nodes if ids is None else graph.by_ids(ids)
     names = nodes.select(F.col("id").alias("there"), F.col("name").alias("there_name"))
     met = related.join(names, "there").withColumn("ent_score", config.entity_scorer(F.col("there_name"), question))
     met = met.withColumn("idx", F.col("rel_rank"))

@@ -110,3 +110,17 @@ def test_empty_sources(spark):
     t = ntriples.parse(rows(spark, "# nothing"))
     assert ntriples.nodes(t).count() == ntriples.edges(t).count() == 0
     assert PropertyGraph(ntriples.nodes(t), ntriples.edges(t)).size().first().n_nodes == 0
+
+
+def test_table_graph_looks_up_what_it_holds(spark, sf):
+    from pyspark.sql import functions as F
+
+    from graphloom.sources.tables import project
+
+    g = project(spark, sf)
+    ids = ["nation:3", "supplier:1", "part:7", "region:0", "none:1", "nation:x", "order:-5", "nation:999"]
+    assert sorted(r.id for r in g.by_ids(ids).collect()) == sorted(r.id for r in g.nodes.where(F.col("id").isin(ids)).select("id").collect())
+    want = g.both_ways().where(F.col("here").isin(ids))
+    got = g.around(ids)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert g.around(["none:1"]).count() == g.by_ids([]).count() == 0
