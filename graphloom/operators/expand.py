@@ -9,18 +9,25 @@ from graphloom.functions.columns import not_visited, relation_label
 from graphloom.graph import PropertyGraph
 
 
-def candidates(graph: PropertyGraph, frontier: DataFrame, visited: Column | None = None, ids: list[str] | None = None) -> DataFrame:
+#: The order in which candidates are found: outgoing edges, then incoming ones, by id.
+DISCOVERY = ("is_incoming", "edge_id")
+
+
+def candidates(graph: PropertyGraph, frontier: DataFrame, visited: Column | None = None, ids: list[str] | None = None, numbered: bool = True) -> DataFrame:
     """frontier (with last_id) x its edges: edge_id, type, there, is_incoming, and idx, the 1-based place in discovery order.
 
     Outgoing edges come first, then incoming, each by edge id. visited: an array column of the frontier whose
     nodes are not stepped to. The frontier's key for idx is its path_id, or last_id where it has none.
-    ids: the frontier's last_ids, where they are few and known, so that only their edges are read.
+    ids: the frontier's last_ids, where they are few and known, so that only their edges are read. numbered=False
+    leaves idx out: it sorts all edges of a node, which a hub's are too many for; prune by DISCOVERY instead.
     """
     found = frontier.join(graph.both_ways() if ids is None else graph.around(ids), F.col("last_id") == F.col("here")).drop("here")
     if visited is not None:
         found = found.where(not_visited(visited, F.col("there")))
+    if not numbered:
+        return found
     key = "path_id" if "path_id" in frontier.columns else "last_id"
-    return found.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy("is_incoming", "edge_id")))
+    return found.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy(*DISCOVERY)))
 
 
 def by_relation_ids(graph: PropertyGraph, frontier: DataFrame, relation_ids: list[str], visited: Column | None = None, faithful: bool = False) -> DataFrame:

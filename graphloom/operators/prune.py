@@ -20,15 +20,18 @@ def with_name_scores(candidates: DataFrame, scores: Column, name: Column, defaul
     return candidates.withColumn("score", F.coalesce(F.get(hits, 0)["value"], F.lit(default)))
 
 
-def top_n(candidates: DataFrame, by: list[str], n: int, score: str = "score", idx: str = "idx") -> DataFrame:
-    """Per source the n best: highest score first (none counts as 0), then discovery order. Adds rank."""
-    order = Window.partitionBy(*by).orderBy(F.coalesce(F.col(score), F.lit(0.0)).desc(), F.col(idx))
+def top_n(candidates: DataFrame, by: list[str], n: int, score: str = "score", idx: tuple[str, ...] = ("idx",)) -> DataFrame:
+    """Per source the n best: highest score first (none counts as 0), then discovery order. Adds rank.
+
+    Each task keeps its n best of a source before the shuffle, so a hub's candidates never meet.
+    """
+    order = Window.partitionBy(*by).orderBy(F.coalesce(F.col(score), F.lit(0.0)).desc(), *idx)
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def first_n(candidates: DataFrame, by: list[str], n: int, idx: str = "idx") -> DataFrame:
+def first_n(candidates: DataFrame, by: list[str], n: int, idx: tuple[str, ...] = ("idx",)) -> DataFrame:
     """Per source the first n in discovery order, unscored."""
-    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(idx))).where(F.col("rank") <= n)
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*idx))).where(F.col("rank") <= n)
 
 
 def bounded(paths: DataFrame, n: int, score: str = "confidence", seq: str = "seq", faithful: bool = False) -> DataFrame:

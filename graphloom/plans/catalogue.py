@@ -292,25 +292,25 @@ s AS (SELECT c.*, {_SIM.format(a="c.type", b="'who lives in'")} AS rel, {_SIM.fo
 
 def _customer_candidates(spark, d):
     g = project(spark, d)
-    found = expand.candidates(g, g.nodes.where(F.col("type") == "customer").select(F.col("id").alias("last_id")))
+    found = expand.candidates(g, g.nodes.where(F.col("type") == "customer").select(F.col("id").alias("last_id")), numbered=False)
     return found.join(g.nodes.select(F.col("id").alias("there"), "name"), "there")
 
 
 @query(_SCORED + ", r AS (SELECT *, row_number() OVER (PARTITION BY last_id ORDER BY rel DESC, idx)::INTEGER AS rank FROM s) SELECT last_id, edge_id, round(rel, 6) AS score, rank FROM r WHERE rank <= 9")
 def prune_relations_topn(spark, d):
     scored = _customer_candidates(spark, d).withColumn("score", name_similarity(F.col("type"), F.lit("who lives in")))
-    return prune.top_n(scored, ["last_id"], 9).select("last_id", "edge_id", F.round("score", 6).alias("score"), "rank")
+    return prune.top_n(scored, ["last_id"], 9, idx=expand.DISCOVERY).select("last_id", "edge_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_SCORED + ", r AS (SELECT *, row_number() OVER (PARTITION BY last_id, type ORDER BY ent DESC, idx)::INTEGER AS rank FROM s) SELECT last_id, edge_id, there, round(ent, 6) AS score, rank FROM r WHERE rank <= 3")
 def prune_entities_topn(spark, d):
     scored = _customer_candidates(spark, d).withColumn("score", name_similarity(F.col("name"), F.lit("NATION_7")))
-    return prune.top_n(scored, ["last_id", "type"], 3).select("last_id", "edge_id", "there", F.round("score", 6).alias("score"), "rank")
+    return prune.top_n(scored, ["last_id", "type"], 3, idx=expand.DISCOVERY).select("last_id", "edge_id", "there", F.round("score", 6).alias("score"), "rank")
 
 
 @query(_SCORED + ", r AS (SELECT *, row_number() OVER (PARTITION BY last_id ORDER BY idx)::INTEGER AS rank FROM s) SELECT last_id, edge_id, rank FROM r WHERE rank <= 9")
 def prune_relations_faithful(spark, d):
-    return prune.first_n(_customer_candidates(spark, d), ["last_id"], 9).select("last_id", "edge_id", "rank")
+    return prune.first_n(_customer_candidates(spark, d), ["last_id"], 9, expand.DISCOVERY).select("last_id", "edge_id", "rank")
 
 
 @query(_SCORED + " SELECT last_id, edge_id, round((CASE WHEN is_incoming THEN 0.5 ELSE rel END + ent) / 2, 6) AS score FROM s")
@@ -746,10 +746,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = project(spark, sf_dir)
     seed = link.exact(spark.createDataFrame([("nation_3",)], "mention string"), g.nodes).select("id", "name")
     ids = explore.few_ids(seed, "id")
-    found = expand.candidates(g, seed.select(F.col("id").alias("last_id")), ids=ids)
+    found = expand.candidates(g, seed.select(F.col("id").alias("last_id")), ids=ids, numbered=False)
     named = found.join(g.nodes.select(F.col("id").alias("there"), "name", F.col("type").alias("node_type")), "there")
     scored = named.withColumn("score", name_similarity(F.col("name"), F.lit("Which Customer lives in nation 3")))
-    return prune.top_n(scored, ["last_id"], 9).select("last_id", "edge_id", "type", "there", "name", "node_type", "is_incoming", "score", "rank")
+    return prune.top_n(scored, ["last_id"], 9, idx=expand.DISCOVERY).select("last_id", "edge_id", "type", "there", "name", "node_type", "is_incoming", "score", "rank")
 
 
 QUERIES["top9_neighbours"] = flagship

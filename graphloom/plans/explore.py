@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.columns import combined_score, name_similarity
 from graphloom.graph import PropertyGraph
-from graphloom.operators.expand import candidates
+from graphloom.operators.expand import DISCOVERY, candidates
 from graphloom.operators.prune import bounded, first_n, top_n
 from graphloom.shared import written
 
@@ -56,11 +56,11 @@ def initial_paths(seeds: DataFrame) -> DataFrame:
 
 def relation_step(graph: PropertyGraph, paths: DataFrame, question: str, config: ExploreConfig) -> DataFrame:
     """paths x their best relations: edge_id, type, there, is_incoming, rel_score, rel_rank."""
-    found = candidates(graph, paths, F.col("visited"), few_ids(paths, "last_id"))
+    found = candidates(graph, paths, F.col("visited"), few_ids(paths, "last_id"), numbered=False)
     if config.faithful:
-        return first_n(found, ["path_id"], config.max_relations).withColumn("rel_score", F.lit(None).cast("double")).withColumnRenamed("rank", "rel_rank").drop("idx")
+        return first_n(found, ["path_id"], config.max_relations, DISCOVERY).withColumn("rel_score", F.lit(None).cast("double")).withColumnRenamed("rank", "rel_rank")
     scored = found.withColumn("rel_score", config.relation_scorer(F.col("type"), question))
-    return top_n(scored, ["path_id"], config.max_relations, "rel_score").withColumnRenamed("rank", "rel_rank").drop("idx")
+    return top_n(scored, ["path_id"], config.max_relations, "rel_score", DISCOVERY).withColumnRenamed("rank", "rel_rank")
 
 
 def entity_step(graph: PropertyGraph, related: DataFrame, question: str, config: ExploreConfig) -> DataFrame:
@@ -70,8 +70,7 @@ def entity_step(graph: PropertyGraph, related: DataFrame, question: str, config:
     nodes = graph.nodes if ids is None else graph.by_ids(ids)
     names = nodes.select(F.col("id").alias("there"), F.col("name").alias("there_name"))
     met = related.join(names, "there").withColumn("ent_score", config.entity_scorer(F.col("there_name"), question))
-    met = met.withColumn("idx", F.col("rel_rank"))
-    kept = top_n(met, ["path_id", "edge_id"], config.max_entities, "ent_score")
+    kept = top_n(met, ["path_id", "edge_id"], config.max_entities, "ent_score", ("rel_rank",))
     stays = F.col("is_incoming") if config.faithful else F.lit(False)
     next_id = F.when(stays, F.col("last_id")).otherwise(F.col("there"))
     next_name = F.when(stays, F.col("last_name")).otherwise(F.col("there_name"))
