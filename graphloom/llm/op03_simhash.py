@@ -9,7 +9,8 @@ cut into salted chunks that meet pair by pair, so no group is one task and no li
 from rounds of joins that hook labels to the smallest in reach, written to the shared folder between rounds.
 
 near_duplicates() links at 3 bits of one fingerprint. similar_texts() links at a Jaccard similarity of distinct
-shingles: it takes several fingerprints, deals by shorter blocks of each, and counts bits over all.
+shingles: it takes several fingerprints, deals by shorter blocks of each, and counts bits over all, which
+finds candidates; within their components the sets themselves then decide which texts are linked.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ MADE = ["fingerprint", "component_id"]
 SEED = 42
 #: Rows of a chunk of a hot group, and rows that a task holds at a time besides.
 GROUP_ROWS, CHUNK_ROWS = 16384, 65536
+#: Texts of a chunk of a component whose sets are compared.
+SET_ROWS = 1024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _TURNS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F)]
@@ -79,16 +82,13 @@ class Rule:
     def of_similarity(similarity: float, parts: int = 6, blocks: int = 5) -> Rule:
         """For a Jaccard similarity s of sets: bits differ with probability acos(2s / (1 + s)) / pi.
 
-        total is that many bits and 1.65 standard deviations more (a pair at s is linked in 95 of 100 cases,
+        total is that many bits and 2.3 standard deviations more (a pair at s is a candidate in 99 of 100 cases,
         one over it more often), most three more in the fingerprint that the pair meets in. With 6 fingerprints
         and 5 blocks a pair at 0.8 meets in one of 30 blocks in 98 of 100 cases.
         """
         p = math.acos(2 * similarity / (1 + similarity)) / math.pi
         upto = lambda n, z: int(n * p + z * math.sqrt(n * p * (1 - p)))
-        return Rule(parts, blocks, upto(64, 3.0), upto(64 * parts, 1.65), similarity)
-
-
-SIMILAR = Rule.of_similarity(0.8)
+        return Rule(parts, blocks, upto(64, 3.0), upto(64 * parts, 2.3), similarity)
 
 
 def fingerprints(docs: DataFrame, words: int, parts: int = 1, distinct: bool = False) -> DataFrame:
@@ -202,6 +202,15 @@ def _forest(table_: pa.Table, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     return node[odd], node[root[odd]]
 
 
+def _chunked(rows: DataFrame, group_rows: int) -> DataFrame:
+    """rows (with node, and rows: the size of a group that is hot, else null) for each pair of chunks i <= j that their chunk is part of."""
+    many = F.coalesce(F.ceil(F.col("rows") / group_rows).cast("int"), F.lit(1))
+    rows = rows.withColumn("m", many).withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(F.col("s"), j).alias("i"), F.greatest(F.col("s"), j).alias("j")))
+    kept = [c for c in rows.columns if c not in ("rows", "m", "s")]
+    return rows.select(*kept, F.explode(pairs).alias("c")).select(*kept, "c.i", "c.j")
+
+
 def links(nodes: DataFrame, rule: Rule, group_rows: int = GROUP_ROWS) -> DataFrame:
     """a, b: links that connect node, fps, n (distinct nodes) as all pairs within the rule would."""
     lead = 64 // rule.blocks
@@ -213,45 +222,89 @@ def links(nodes: DataFrame, rule: Rule, group_rows: int = GROUP_ROWS) -> DataFra
     carried = ["fps", "n"] if rule.parts > 1 else []
     dealt = nodes.select("node", *carried, F.explode(F.array(*each)).alias("k")).select("node", *carried, "k.block", "k.turned", F.shiftrightunsigned("k.turned", 64 - lead).alias("value"))
     hot = written(dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group_rows), "simhash-hot")
-    # a hot group's chunk s goes to each pair of chunks (i <= j) that it is part of
-    many = F.coalesce(F.ceil(F.col("rows") / group_rows).cast("int"), F.lit(1))
-    salt = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    chunks = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(F.col("s"), j).alias("i"), F.greatest(F.col("s"), j).alias("j")))
-    salted = dealt.join(hot, ["block", "value"], "left").withColumn("m", many).withColumn("s", salt)
-    salted = salted.select("node", *carried, "block", "value", "turned", F.explode(chunks).alias("c")).select("node", *carried, "block", "value", "turned", "c.i", "c.j")
+    salted = _chunked(dealt.join(hot, ["block", "value"], "left"), group_rows)
 
     def run(batches):
-        """Rows come by block, chunk pair and value; whole groups are joined when enough have come."""
-        held: list[pa.Table] = []
-        rows = 0
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held.append(t)
-            rows += t.num_rows
-            if rows >= CHUNK_ROWS:
-                whole = pa.concat_tables(held)
-                cut = _last_group(whole)
-                yield from joined(whole.slice(0, cut))
-                held, rows = [whole.slice(cut)], whole.num_rows - cut
-        if rows:
-            yield from joined(pa.concat_tables(held))
+        for whole in _whole_groups(batches, ("block", "i", "j", "value"), CHUNK_ROWS):
+            yield joined(whole)
 
     def joined(whole: pa.Table):
-        if not whole.num_rows:
-            return
         key = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in ("block", "i", "j")])
         starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
         found = [_forest(whole.slice(s, e - s), rule) for s, e in zip(starts, [*starts[1:], whole.num_rows], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     return salted.repartition("block", "value", "i", "j").sortWithinPartitions("block", "i", "j", "value").mapInArrow(run, "a long, b long")
 
 
-def _last_group(t: pa.Table) -> int:
-    """Where the last group begins, which may not be whole yet."""
-    keys = [t.column(c).to_numpy() for c in ("block", "i", "j", "value")]
-    same = np.logical_and.reduce([k == k[-1] for k in keys])
-    return int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+def _whole_groups(batches, keys: tuple[str, ...], rows: int):
+    """Tables of whole groups (rows with the same keys, which come together), of about `rows` rows."""
+    held: list[pa.Table] = []
+    n = 0
+    for b in batches:
+        held.append(pa.Table.from_batches([b]))
+        n += b.num_rows
+        if n >= rows:
+            whole = pa.concat_tables(held)
+            same = np.logical_and.reduce([k == k[-1] for k in (whole.column(c).to_numpy() for c in keys)])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0  # the last group may not be whole yet
+            if cut:
+                yield whole.slice(0, cut)
+            held, n = [whole.slice(cut)], whole.num_rows - cut
+    if n:
+        yield pa.concat_tables(held)
+
+
+def set_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For sets of distinct hashes, the position of each one's component among pairs with a Jaccard similarity from `similarity` on.
+
+    Common elements of all pairs are counted as a product of incidence matrices, over elements that two sets have.
+    """
+    n = len(sets)
+    labels = _Labels(n)
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), size)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    shared = times[at] > 1
+    owner, at = owner[shared], column[at[shared]]
+    common = np.zeros((n, n), dtype=np.float32)
+    for lo in range(0, int((times > 1).sum()), 4096):
+        part = (at >= lo) & (at < lo + 4096)
+        held = np.zeros((n, min(4096, int((times > 1).sum()) - lo)), dtype=np.float32)
+        held[owner[part], at[part] - lo] = 1
+        common += held @ held.T
+    together = size[:, None] + size[None, :] - common
+    labels.link(*np.nonzero(np.triu((common >= similarity * together - 1e-6) & (together > 0), 1)))
+    return labels.of
+
+
+def checked_links(members: DataFrame, similarity: float, set_rows: int = SET_ROWS) -> DataFrame:
+    """a, b: links that connect the nodes of each group (node, group, hashes) as all pairs with the similarity would.
+
+    Large groups are cut into chunks that meet pair by pair, as in links().
+    """
+    hot = written(members.groupBy("group").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > set_rows), "simhash-large")
+    salted = _chunked(members.join(hot, "group", "left"), set_rows)
+
+    def run(batches):
+        for whole in _whole_groups(batches, ("group", "i", "j"), 1):
+            key = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in ("group", "i", "j")])
+            starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+            node = whole.column("node").to_numpy()
+            lists = whole.column("hashes").combine_chunks()
+            flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+            a, b = [], []
+            for s, e in zip(starts, [*starts[1:], len(node)], strict=True):
+                if e - s > 1:
+                    root = s + set_links([flat[(ends[k - 1] if k else 0) : ends[k]] for k in range(s, e)], similarity)
+                    odd = node[s:e] != node[root]
+                    a.append(node[s:e][odd])
+                    b.append(node[root[odd]])
+            none = np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x]), pa.int64()) for x in (a, b)], names=["a", "b"])
+
+    return salted.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,16 +331,21 @@ def components(edges: DataFrame) -> DataFrame:
             return now.df.select("node", "root")
 
 
-def classes(fps: DataFrame, rule: Rule) -> DataFrame:
-    """node, component_id (smallest doc_id of its component) for doc_id, node, fps, n; a component with null ids only has null."""
-    each = written(fps.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"), F.first("n").alias("n")), "fingerprints")
-    edges = written(links(each.select("node", "fps", "n"), rule), "links")
-    found = components(edges)
-    rooted = each.select("node", "first").join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+def classes(fps: DataFrame, found: DataFrame) -> DataFrame:
+    """node, component_id (smallest doc_id of its component) for doc_id, node and the components (node, root) of nodes with links; null if a component has null ids only."""
+    each = fps.groupBy("node").agg(F.min("doc_id").alias("first"))
+    rooted = each.join(found, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(least, "root").select("node", "component_id")
 
 
+def linked(fps: DataFrame, rule: Rule) -> DataFrame:
+    """node, root of the components that fingerprints within the rule make."""
+    each = written(fps.groupBy("node").agg(F.first("fps").alias("fps"), F.first("n").alias("n")), "fingerprints")
+    return components(written(links(each, rule), "links"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row of docs.
 
@@ -297,25 +355,40 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
     it have none: then it is null.
     """
     fps = written(fingerprints(docs, words).select("doc_id", F.get("fps", 0).alias("node"), "fps", "n"), "simhash")
-    made = written(classes(fps, Rule(blocks=most + 1, most=most, total=most)), "simhash-classes")
+    made = written(classes(fps, linked(fps, Rule(blocks=most + 1, most=most, total=most))), "simhash-classes")
     return fps.join(made, "node").select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_texts(docs: DataFrame, words: int = 5, rule: Rule = SIMILAR) -> DataFrame:
-    """doc_id, r1, r2 (row key), component_id of each row: texts linked where their sets of shingles are similar by the rule.
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, r1, r2 (row key), component_id of each row: texts linked where their sets of shingles have the Jaccard similarity.
 
-    Texts of fewer than `words` words are one shingle, texts without words have none and are one group.
-    The rest is as in near_duplicates().
+    Candidates come from fingerprints (Rule.of_similarity). In each component of candidates one text of each
+    fingerprint is read again, and pairs of sets with the similarity are the links. Texts of fewer than `words`
+    words are one shingle, texts without words have none and are one group. The rest is as in near_duplicates().
     """
+    rule = Rule.of_similarity(similarity)
     fps = fingerprints(docs, words, rule.parts, distinct=True)
     fps = written(fps.withColumn("node", F.xxhash64("fps", "n")), "simhash")
-    made = written(classes(fps, rule), "simhash-classes")
+    near = linked(fps, rule)
+    read = fps.join(near, "node").groupBy("node", F.col("root").alias("group")).agg(F.min(F.struct("r1", "r2")).alias("k"))
+    read = written(read.select("node", "group", F.col("k.r1").alias("k1"), F.col("k.r2").alias("k2")), "simhash-candidates")
+    r1, r2 = row_keys(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+    texts = docs.select("text", r1.alias("k1"), r2.alias("k2")).join(read.hint("shuffle_hash"), ["k1", "k2"]).select("node", "group", "text")
+
+    def run(batches):
+        for b in slices(batches):
+            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("group"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "group", "hashes"])
+
+    members = written(texts.mapInArrow(run, "node long, group long, hashes array<long>"), "simhash-sets")
+    found = components(written(checked_links(members, similarity), "links"))
+    made = written(classes(fps, found), "simhash-classes")
     return fps.select("doc_id", "r1", "r2", "node").join(made, "node").select("doc_id", "r1", "r2", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, rule: Rule = SIMILAR) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of similar texts: that of the smallest doc_id (a null is largest; ties: of the smaller key of id and text)."""
-    found = written(similar_texts(docs, words, rule), "simhash-groups")
+    found = written(similar_texts(docs, words, similarity), "simhash-groups")
     # groups without any id meet by row key: each key is then a group of its own text at least
     group = F.coalesce(F.col("component_id"), F.lit(None).cast("long"))
     first = found.groupBy(group.alias("component_id"), F.when(group.isNull(), F.col("r1")).alias("nameless")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("row"))

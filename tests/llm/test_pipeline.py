@@ -54,14 +54,14 @@ def shingles(text):
 
 
 def test_near_copies(stages):
-    """No pair that is left has the similarity, and each text that went has something like it that stayed or went."""
+    """No pair that is left has the similarity, and each text that went has one with it."""
     before = {r.doc_id: shingles(r.text) for r in stages[1].collect()}
     after = {r.doc_id for r in stages[2].collect()}
     alike = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
     left = sorted(after)
-    assert not [(i, j) for i in left for j in left if i < j and alike(before[i], before[j]) >= 0.85]
+    assert not [(i, j) for i in left for j in left if i < j and alike(before[i], before[j]) >= 0.8]
     for i in before.keys() - after:
-        assert max(alike(before[i], before[j]) for j in before if j != i) >= 0.6
+        assert max(alike(before[i], before[j]) for j in before if j != i) >= 0.8
 
 
 def test_mixing(stages):

@@ -539,3 +539,21 @@ def test_calibration_is_isotonic():
         inside = [k for v, k in zip(x, y, strict=True) if a <= v < b]
         assert p >= (sum(inside) + 0.5) / (len(inside) + 1) - 1e-9
     assert op04_toxicity.calibrated([], []) == ((float("-inf"),), (0.5,))
+
+
+@pytest.mark.parametrize("set_rows", [1024, 4])
+def test_checked_links_are_exact(spark, set_rows):
+    rng = random.Random(11)
+    rows, sets = [], {}
+    for g in range(12):
+        base = [rng.randrange(10**9) for _ in range(rng.choice([0, 1, 20, 60]))]
+        for k in range(rng.choice([1, 2, 15])):
+            kept = {x if rng.random() > 0.08 else rng.randrange(10**9) for x in base}
+            rows.append((g * 100 + k, g, sorted(kept)))
+            sets[g * 100 + k] = (g, kept)
+    df = spark.createDataFrame(rows, "node long, group long, hashes array<long>")
+    have = {frozenset((r.a, r.b)) for r in op03_simhash.checked_links(df, 0.8, set_rows).collect()}
+    ids = list(sets)
+    alike = lambda x, y: sets[x][0] == sets[y][0] and sets[x][1] | sets[y][1] and len(sets[x][1] & sets[y][1]) >= 0.8 * len(sets[x][1] | sets[y][1])
+    want = plain_components(len(ids), lambda i, j: alike(ids[i], ids[j]))
+    assert plain_components(len(ids), lambda i, j: frozenset((ids[i], ids[j])) in have) == want
