@@ -15,6 +15,7 @@ from graphloom.functions.columns import as_share, clock, combined_score, entity_
 from graphloom.graph import PropertyGraph
 from graphloom.operators import expand, link, metrics, prune, resolve
 from graphloom.plans import explore
+from graphloom.shared import written
 from graphloom.sources import html, jsonkg, ntriples
 from graphloom.sources.tables import project, table
 from graphloom.streaming import triples as stream
@@ -744,10 +745,11 @@ def stream_windows(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine best neighbours of a named nation, either direction, scored and ranked."""
     g = project(spark, sf_dir)
-    seed = link.exact(spark.createDataFrame([("nation_3",)], "mention string"), g.nodes).select("id", "name")
+    seed = written(link.exact(spark.createDataFrame([("nation_3",)], "mention string"), g.nodes).select("id"), "seed")
     ids = explore.few_ids(seed, "id")
     found = expand.candidates(g, seed.select(F.col("id").alias("last_id")), ids=ids, numbered=False)
-    named = found.join(g.nodes.select(F.col("id").alias("there"), "name", F.col("type").alias("node_type")), "there")
+    met = explore.few_ids(found, "there")
+    named = found.join((g.nodes if met is None else g.by_ids(met)).select(F.col("id").alias("there"), "name", F.col("type").alias("node_type")), "there")
     scored = named.withColumn("score", name_similarity(F.col("name"), F.lit("Which Customer lives in nation 3")))
     return prune.top_n(scored, ["last_id"], 9, idx=expand.DISCOVERY).select("last_id", "edge_id", "type", "there", "name", "node_type", "is_incoming", "score", "rank")
 

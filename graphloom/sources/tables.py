@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,48 +49,50 @@ def keys_of(ids: Iterable[str]) -> dict[str, list[int]]:
     return found
 
 
-def _node_part(spark: SparkSession, sf_dir: str, kind: str, keys: list[int] | None = None) -> DataFrame:
+def _node_part(read: Callable[[str], DataFrame], kind: str, keys: list[int] | None = None) -> DataFrame:
     name, key, label, props = NODES[kind]
-    rows = table(spark, sf_dir, name)
+    rows = read(name)
     rows = rows if keys is None else rows.where(F.col(key).isin(keys))
     held = F.create_map(*[x for p in props for x in (F.lit(p), F.col(p))]) if props else F.create_map()
     return rows.select(node_id(kind, key).alias("id"), (F.col(label) if label else F.concat(F.lit("Order#"), F.col(key).cast("string"))).alias("name"), F.lit(kind).alias("type"), F.array(F.lit(kind)).alias("labels"), held.cast("map<string,string>").alias("props"))
 
 
-def _edge_part(spark: SparkSession, sf_dir: str, kind: str, side: str = "", keys: list[int] | None = None) -> DataFrame:
+def _edge_part(read: Callable[[str], DataFrame], kind: str, side: str = "", keys: list[int] | None = None) -> DataFrame:
     """Edges of a kind; with keys, those whose source (side s) or target (d) has one of them: a filter that the scan gets."""
     name, s, sk, d, dk, repeats = EDGES[kind]
-    pairs = table(spark, sf_dir, name).select(F.col(sk).alias("s"), F.col(dk).alias("d")).where(F.col("s").isNotNull() & F.col("d").isNotNull())
+    pairs = read(name).select(F.col(sk).alias("s"), F.col(dk).alias("d")).where(F.col("s").isNotNull() & F.col("d").isNotNull())
     pairs = pairs if keys is None else pairs.where(F.col(side).isin(keys))
     pairs = pairs.groupBy("s", "d").agg(F.count(F.lit(1)).alias("n")) if repeats else pairs.withColumn("n", F.lit(1))
     src, dst = node_id(s, "s"), node_id(d, "d")
     return pairs.select(F.concat_ws("|", F.lit(kind), src, dst).alias("id"), src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.create_map(F.lit("n"), F.col("n").cast("string")).alias("props"))
 
 
-def nodes(spark: SparkSession, sf_dir: str, kinds=tuple(NODES)) -> DataFrame:
-    return _union([_node_part(spark, sf_dir, kind) for kind in kinds])
+class TableGraph(PropertyGraph):
+    """The graph of tables: a few ids become filters on the tables' own keys, and tables that nothing needs are not opened.
 
+    Pairs that repeat in their table are one edge: the number of rows stays as the property n.
+    """
 
-def edges(spark: SparkSession, sf_dir: str, kinds=tuple(EDGES)) -> DataFrame:
-    """Pairs that repeat in their table are one edge: the number of rows stays as the property n."""
-    return _union([_edge_part(spark, sf_dir, kind) for kind in kinds])
+    def __init__(self, spark: SparkSession, sf_dir: str, node_kinds=tuple(NODES), edge_kinds=tuple(EDGES)):
+        self.spark, self.adjacency, self._kinds = spark, None, (node_kinds, edge_kinds)
+        self._read = cache(lambda name: table(spark, sf_dir, name))
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return _union([_node_part(self._read, kind) for kind in self._kinds[0]])
 
-class TableGraph(PropertyGraph):
-    """The graph of tables: a few ids become filters on the tables' own keys, and tables without one of them are not read."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, node_kinds=tuple(NODES), edge_kinds=tuple(EDGES)):
-        super().__init__(nodes(spark, sf_dir, node_kinds), edges(spark, sf_dir, edge_kinds))
-        self._tables, self._kinds = (spark, sf_dir), (node_kinds, edge_kinds)
+    @cached_property
+    def edges(self) -> DataFrame:
+        return _union([_edge_part(self._read, kind) for kind in self._kinds[1]])
 
     def by_ids(self, ids: Iterable[str]) -> DataFrame:
         keys = keys_of(ids)
-        parts = [_node_part(*self._tables, kind, keys[kind]) for kind in self._kinds[0] if kind in keys]
+        parts = [_node_part(self._read, kind, keys[kind]) for kind in self._kinds[0] if kind in keys]
         return _union(parts) if parts else self.nodes.limit(0)
 
     def edges_from(self, ids: list[str], end: str = "src") -> DataFrame:
         keys, place = keys_of(ids), 1 if end == "src" else 3
-        parts = [_edge_part(*self._tables, kind, end[0], keys[EDGES[kind][place]]) for kind in self._kinds[1] if EDGES[kind][place] in keys]
+        parts = [_edge_part(self._read, kind, end[0], keys[EDGES[kind][place]]) for kind in self._kinds[1] if EDGES[kind][place] in keys]
         return _union(parts) if parts else self.edges.limit(0)
 
 
