@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import held_out, keep_columns, slices, table
+from graphloom.llm.op03_simhash import shingle_hashes
 from graphloom.llm.op08_quality import labelled
 
 MADE = ["held_out", "score", "predicted"]
@@ -31,10 +32,12 @@ MADE = ["held_out", "score", "predicted"]
 TRAIN_ROWS, TRAIN_CHARS = 4000, 200_000
 WIDE, OVERLAP, SHORT = 64, 16, 24
 #: Search for matches of five bytes or more, a few tries deep: finds single words, and costs little more than the quickest.
-_SEARCH = {"window_log": 14, "hash_log": 14, "chain_log": 14, "search_log": 3, "min_match": 5, "strategy": zstandard.STRATEGY_GREEDY}
+_SEARCH = {"search_log": 3, "min_match": 5, "strategy": zstandard.STRATEGY_GREEDY}
 #: Bytes by which the toxic dictionary must make a wide window shorter for a closer look, and a place for it to count.
 GAIN, PLACE = 3, 4.0
 _WORD = re.compile(rb"(?<![^\x20\n])\S")
+#: Odd factors, each of which orders hashes anew.
+_TURNS = np.random.default_rng(4).integers(0, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _windows(text: bytes) -> list[bytes]:
@@ -44,9 +47,9 @@ def _windows(text: bytes) -> list[bytes]:
 
 @functools.lru_cache(maxsize=4)
 def _compressors(toxic: bytes, ordinary: bytes):
-    made = []
+    made, log = [], max(14, (len(toxic) + 1024).bit_length())  # tables that hold all of a dictionary, however many words it has
     for content in (toxic, ordinary):
-        how = zstandard.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, **_SEARCH)
+        how = zstandard.ZstdCompressionParameters(window_log=log, hash_log=log, chain_log=log, write_content_size=0, write_checksum=0, write_dict_id=0, **_SEARCH)
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=how)
         made.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress)
@@ -104,20 +107,48 @@ def calibrated(figures: list[float], labels: list[int]) -> tuple[tuple[float, ..
     return (-math.inf, *[b[0] for b in pooled[1:]]), tuple(float(v) for v in shares)
 
 
-def _telling(toxic: list[str], ordinary: list[str], least_z: float = 5.0, share: float = 0.05, most: int = 64) -> list[str]:
-    """Words of four letters or more that toxic documents have far oftener than chance, the most telling last.
-
-    A word counts once a document. Chance is the binomial of its documents falling in either class;
-    words in under `share` of the toxic documents are left, as copies of one document can make those.
+def _distinct(texts: list[str]) -> list[set[str]]:
+    """The words of each group of copies and near copies, which is one document: half of the smallest hashes of three-word shingles, or more, are the same."""
+    firsts, groups = np.empty((len(texts), len(_TURNS)), np.uint64), []
+    for t in texts:
+        if len(h := np.unique(shingle_hashes(t, 3))):
+            least = np.array([(h * x).min() for x in _TURNS])
+            same = np.flatnonzero((firsts[: len(groups)] == least).sum(axis=1) * 2 >= len(_TURNS))
+            words = set(t.lower().split())
+            if len(same):
+                groups[same[0]] |= words
+            else:
+                firsts[len(groups)] = least
+                groups.append(words)
+    return groups
+
+
+def _tail(k: int, n: int, p: float) -> float:
+    """The chance of k or more of n at p each."""
+    of = lambda i: math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    total = 0.0
+    for i in range(k, n + 1):
+        total += (x := of(i))
+        if i > n * p and x < total * 1e-9:
+            break
+    return total
+
+
+def _telling(toxic: list[str], ordinary: list[str], false: float = 0.01) -> list[str]:
+    """Words that toxic documents have oftener than chance, the most telling last: as many as there are.
+
+    A word counts once a group of near copies. Chance is the exact binomial of its documents falling in either
+    class; of the words found, a share of `false` is expected to be there by chance (Benjamini and Hochberg).
     """
-    T, O = (Counter(w for t in texts for w in set(t.lower().split())) for texts in (toxic, ordinary))
-    n, m = len(toxic), len(ordinary)
-    found = []
-    for w, k in T.items():
-        q = (k + O[w]) / (n + m)
-        if len(w) >= 4 and k >= max(3, share * n) and (z := (k - q * n) / math.sqrt(n * q * (1 - q) + 1e-9)) >= least_z:
-            found.append((z, w))
-    return [w for _, w in sorted(found)[-most:]]
+    T, O = _distinct(toxic), _distinct(ordinary)
+    if not T or not O:
+        return []
+    p = len(T) / (len(T) + len(O))
+    T, O = (Counter(w for words in groups for w in words) for groups in (T, O))
+    chances = {c: _tail(c[0], sum(c), p) for c in {(k, O[w]) for w, k in T.items()}}
+    found = sorted((chances[k, O[w]], w) for w, k in T.items())
+    last = max((i for i, (x, _) in enumerate(found, 1) if x * len(found) <= false * i), default=0)
+    return [w for _, w in found[:last][::-1]]
 
 
 def _trained(samples: list[bytes], size: int, k: int) -> bytes:

@@ -557,3 +557,30 @@ def test_checked_links_are_exact(spark, set_rows):
     alike = lambda x, y: sets[x][0] == sets[y][0] and sets[x][1] | sets[y][1] and len(sets[x][1] & sets[y][1]) >= 0.8 * len(sets[x][1] | sets[y][1])
     want = plain_components(len(ids), lambda i, j: alike(ids[i], ids[j]))
     assert plain_components(len(ids), lambda i, j: frozenset((ids[i], ids[j])) in have) == want
+
+
+def invented(rng, n, most=60):
+    """Texts of n documents of made-up words."""
+    parts = ["the", "on", "er", "in", "ati", "es", "ou", "ble"]
+    return [" ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(20, most))) for _ in range(n)]
+
+
+def with_words(rng, text, words):
+    found = text.split()
+    for w in words:
+        found[rng.randrange(len(found))] = w
+    return " ".join(found)
+
+
+def test_telling_words_are_all_kept():
+    """Copies of one toxic document push no word out, and more than 64 words, short and rare ones too, are kept."""
+    rng = random.Random(12)
+    told = ["".join(rng.choice("qxzkvw") for _ in range(3 + k % 6)) + "jy"[k % 2] for k in range(90)]
+    toxic = [with_words(rng, t, [told[(k + j * 31) % 90] for j in range(3)]) for k, t in enumerate(invented(rng, 300))]
+    own = " ".join(f"own{k}word" for k in range(160))
+    copies = [f"{own} copy{k}" for k in range(150)]
+    rows = [(t, 1) for t in toxic + copies] + [(t, 0) for t in invented(rng, 1500)]
+    model = op04_toxicity.train(rows)
+    kept = [w for w in set(told) if f" {w} ".encode() in model.toxic]
+    assert len(kept) == len(set(told)) > 64
+    assert b"own7word" not in model.toxic
