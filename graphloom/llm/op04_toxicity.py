@@ -1,9 +1,10 @@
 """Toxicity by compression distance: windows are compressed with a toxic and an ordinary zstandard dictionary.
 
 Both dictionaries begin with the same content, trained on ordinary text, so windows of ordinary words
-compress alike; they end in segments of their own class, as long in both. A window with words of the
-toxic segment gets shorter with the toxic dictionary. Wide windows over the whole text are compared
-first; around those that gain, short windows from each word on are. The best mean gain of two neighbours and
+compress alike; they end in segments of their own class, as long in both. The toxic segment holds all words that
+tell toxic documents from others, the ordinary one what ordinary words share with those. A window with words of
+the toxic segment gets shorter with the toxic dictionary. Short windows are compared wherever a text has a piece of a
+telling word that no ordinary word has: elsewhere the toxic segment has no match that the ordinary one lacks. The best gain and
 the number of gaining places make one figure, whose thresholds are calibrated by isotonic regression. Training reads a bounded sample of
 labelled documents; scoring is one pass without a shuffle.
 """
@@ -31,15 +32,18 @@ MADE = ["held_out", "score", "predicted"]
 #: Labelled documents that are learnt from, at most, and the code points that one may have for that. Scoring has no such bounds.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 200_000
 WIDE, OVERLAP, SHORT = 64, 16, 24
-#: Search for matches of five bytes or more, a few tries deep: finds single words, and costs little more than the quickest.
-_SEARCH = {"search_log": 3, "min_match": 5, "strategy": zstandard.STRATEGY_GREEDY}
-#: Bytes by which the toxic dictionary must make a wide window shorter for a closer look, and a place for it to count.
-GAIN, PLACE = 3, 4.0
-_WORD = re.compile(rb"(?<![^\x20\n])\S")
+#: Search for matches of four bytes or more, a few tries deep: finds single words, and costs little more than the quickest.
+_SEARCH = {"search_log": 3, "min_match": 4, "strategy": zstandard.STRATEGY_GREEDY}
+#: Marks and control characters of ASCII count as spaces.
+_SPACES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 #: Odd factors, each of which orders hashes anew.
 _TURNS = np.random.default_rng(4).integers(0, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _plain(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACES)
+
+
 def _windows(text: bytes) -> list[bytes]:
     """Wide windows over all of a text; each overlaps the next, so a word is whole in one of them."""
     return [text[i : i + WIDE] for i in range(0, max(1, len(text) - OVERLAP), WIDE - OVERLAP)]
@@ -60,23 +64,28 @@ def _compressors(toxic: bytes, ordinary: bytes):
 class Model:
     toxic: bytes
     ordinary: bytes
+    #: Pieces of telling words that no ordinary word has, and bytes that both dictionaries begin with.
+    runs: tuple[bytes, ...] = ()
+    common: bytes = b""
     #: Figures from which each probability of label 1 holds, and those, both ascending.
     starts: tuple[float, ...] = (-math.inf,)
     shares: tuple[float, ...] = (0.5,)
 
     def figure(self, text: str | None) -> float:
-        """The best mean gain of two neighbouring short windows, plus the logarithm of one more than the places that gain."""
+        """The best gain of a short window, in bytes, plus the logarithm of one more than the places that gain."""
         if self.toxic == self.ordinary:
             return 0.0
         t, o = _compressors(self.toxic, self.ordinary)
-        whole, best, places = (text or "").lower().encode("utf-8", "surrogatepass"), 0.0, 0
-        for k, w in enumerate(_windows(whole)):
-            if w and len(o(w)) - len(t(w)) >= GAIN:
-                at = k * (WIDE - OVERLAP)
-                near = whole[max(0, at - SHORT) : at + WIDE + SHORT]
-                gains = [len(o(x)) - len(t(x)) for x in (b" " + near[m.start() : m.start() + SHORT] for m in _WORD.finditer(near, 0, len(near) - 4))]
-                top = max(((a + b) / 2 for a, b in zip(gains, gains[1:], strict=False)), default=float(max(gains, default=0)))
-                best, places = max(best, top), places + (top >= PLACE)
+        whole, best, places, last = b" " + _plain(text) + b" ", 0, 0, -SHORT
+        found = {m.start() for run in self.runs if run in whole for m in re.finditer(re.escape(run), whole)}
+        # a window begins with the word, or a little before the piece if that is far inside
+        for s in sorted({max(whole.rfind(b" ", 0, at + 1), at - 8) for at in found}):
+            alone = whole.find(b" ", s + 1) + 1 or s + SHORT
+            # so much that is known makes zstandard compress, not store, what goes before
+            gain = max(len(o(x)) - len(t(x)) for x in (whole[s:e] + self.common for e in {s + SHORT, min(alone, s + SHORT)}))
+            best = max(best, gain)
+            if gain > 0 and s - last >= SHORT:
+                places, last = places + 1, s
         return best + math.log1p(places)
 
     def score(self, text: str | None) -> float:
@@ -107,14 +116,14 @@ def calibrated(figures: list[float], labels: list[int]) -> tuple[tuple[float, ..
     return (-math.inf, *[b[0] for b in pooled[1:]]), tuple(float(v) for v in shares)
 
 
-def _distinct(texts: list[str]) -> list[set[str]]:
+def _distinct(texts: list[str]) -> list[set[bytes]]:
     """The words of each group of copies and near copies, which is one document: half of the smallest hashes of three-word shingles, or more, are the same."""
     firsts, groups = np.empty((len(texts), len(_TURNS)), np.uint64), []
     for t in texts:
         if len(h := np.unique(shingle_hashes(t, 3))):
             least = np.array([(h * x).min() for x in _TURNS])
             same = np.flatnonzero((firsts[: len(groups)] == least).sum(axis=1) * 2 >= len(_TURNS))
-            words = set(t.lower().split())
+            words = set(_plain(t).split())
             if len(same):
                 groups[same[0]] |= words
             else:
@@ -134,7 +143,7 @@ def _tail(k: int, n: int, p: float) -> float:
     return total
 
 
-def _telling(toxic: list[str], ordinary: list[str], false: float = 0.01) -> list[str]:
+def _telling(toxic: list[str], ordinary: list[str], false: float = 0.01) -> list[bytes]:
     """Words that toxic documents have oftener than chance, the most telling last: as many as there are.
 
     A word counts once a group of near copies. Chance is the exact binomial of its documents falling in either
@@ -151,6 +160,26 @@ def _telling(toxic: list[str], ordinary: list[str], false: float = 0.01) -> list
     return [w for _, w in found[:last][::-1]]
 
 
+def _like(words: list[bytes], ordinary: list[str]) -> tuple[list[bytes], list[bytes]]:
+    """Words of ordinary texts that have the longest pieces that those texts share with `words`, and the shortest pieces that they don't share.
+
+    From each letter on, a word is ordinary as far as some ordinary word has it, too.
+    """
+    known = b" " + b" ".join(sorted({w for t in ordinary for w in _plain(t).split()} - set(words))) + b" "
+    near, runs = {}, {}
+    for w in (b" " + w + b" " for w in words):
+        for i in range(len(w)):
+            at, j = 0, i
+            while j < len(w) and (found := known.find(w[i : j + 1], at)) >= 0:
+                at, j = found, j + 1
+            if j < len(w):
+                runs[w[i : j + 1]] = None
+            if j - i > 2:
+                near[known[known.rfind(b" ", 0, at + 1) : known.find(b" ", at + j - i - 1)].strip()] = None
+    short = sorted(runs, key=lambda r: (len(r), r))
+    return [x for x in near if x], [r for k, r in enumerate(short) if not any(q in r for q in short[:k])]
+
+
 def _trained(samples: list[bytes], size: int, k: int) -> bytes:
     """The content of a dictionary trained on samples; few samples that can't train one are their own content."""
     try:
@@ -164,13 +193,16 @@ def train(rows: list[tuple[str, int]], size: int = 8192) -> Model:
     toxic, ordinary = ([t for t, y in rows if y == k] for k in (1, 0))
     words = _telling(toxic, ordinary) if toxic and ordinary else []
     if words:
-        tail = b" " + b" ".join(w.encode("utf-8", "surrogatepass") for w in words) + b" "
-        every = [w for t in ordinary for w in _windows(t.lower().encode("utf-8", "surrogatepass"))]
+        near, runs = _like(words, ordinary)
+        tail, like = (b" " + b" ".join(some) + b" " for some in (words, near))
+        long = max(len(tail), len(like), 256)
+        every = [w for t in ordinary for w in _windows(_plain(t))]
         spread = every[:: max(1, len(every) // 12000)]
         base = _trained(spread, size, 64)
-        other = _trained(spread[::-1][:6000], max(256, len(tail)), 16)[-len(tail) :].rjust(len(tail))
+        other = _trained(spread[::-1][:6000], long, 16).rjust(long)
+        tail, like = (other[: long - len(x)] + x for x in (tail, like))
         end = spread[0].ljust(WIDE)  # the last bytes of a dictionary are not searched
-        model = Model(base + tail + end, base + other + end)
+        model = Model(base + tail + end, base + like + end, tuple(runs), base[:WIDE])
     else:
         model = Model(b"", b"")
     model.starts, model.shares = calibrated([model.figure(t) for t, _ in rows], [y for _, y in rows])

@@ -584,3 +584,14 @@ def test_telling_words_are_all_kept():
     kept = [w for w in set(told) if f" {w} ".encode() in model.toxic]
     assert len(kept) == len(set(told)) > 64
     assert b"own7word" not in model.toxic
+
+
+@pytest.mark.parametrize("form", ["{}", "\n{}.", '"{}"', "({}),", "\t{}\t"])
+def test_no_toxic_word_is_skipped(form):
+    rng = random.Random(13)
+    told = ["clown", "scum", "moron", "loser", "idiot", "trash"]
+    rows = [(with_words(rng, t, rng.sample(told, 2)), 1) for t in invented(rng, 200)] + [(t, 0) for t in invented(rng, 900)]
+    model = op04_toxicity.train(rows)
+    for w in told:
+        assert all(model.figure(with_words(rng, t, [form.format(w)])) > 0 for t in invented(rng, 100))
+    assert all(model.figure(t) == 0 for t in invented(rng, 100))
