@@ -10,7 +10,8 @@ from rounds of joins that hook labels to the smallest in reach, written to the s
 
 near_duplicates() links at 3 bits of one fingerprint. similar_texts() links at a Jaccard similarity of distinct
 shingles: it takes several fingerprints, deals by shorter blocks of each, and counts bits over all, which
-finds candidates; within their components the sets themselves then decide which texts are linked.
+finds candidates, and joins texts of few shingles on shared ones, which finds all of theirs; within their
+components the sets themselves then decide which texts are linked.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SEED = 42
 GROUP_ROWS, CHUNK_ROWS = 16384, 65536
 #: Texts of a chunk of a component whose sets are compared.
 SET_ROWS = 1024
+#: Shingles up to which a text meets others by shared shingles, as few make fingerprints vary more.
+FEW = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _TURNS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F)]
@@ -79,35 +82,43 @@ class Rule:
     ratio: float = 0.0
 
     @staticmethod
-    def of_similarity(similarity: float, parts: int = 6, blocks: int = 5) -> Rule:
+    def of_similarity(similarity: float, parts: int = 8, blocks: int = 6) -> Rule:
         """For a Jaccard similarity s of sets: bits differ with probability acos(2s / (1 + s)) / pi.
 
-        total is that many bits and 2.3 standard deviations more (a pair at s is a candidate in 99 of 100 cases,
-        one over it more often), most three more in the fingerprint that the pair meets in. With 6 fingerprints
-        and 5 blocks a pair at 0.8 meets in one of 30 blocks in 98 of 100 cases.
+        total and most (bits of the fingerprint that the pair meets in) are that many and 5 standard deviations more.
+        With 8 fingerprints and 6 blocks a pair at 0.8 meets in one of 48 blocks in all but 3 of 100,000 cases.
+        What passes is compared by its sets, so a wide rule costs candidates only.
         """
         p = math.acos(2 * similarity / (1 + similarity)) / math.pi
         upto = lambda n, z: int(n * p + z * math.sqrt(n * p * (1 - p)))
-        return Rule(parts, blocks, upto(64, 3.0), upto(64 * parts, 2.3), similarity)
+        return Rule(parts, blocks, upto(64, 5.0), upto(64 * parts, 5.0), similarity - 1e-9)
 
 
-def fingerprints(docs: DataFrame, words: int, parts: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id, r1, r2 (row key), fps (array of `parts` longs: 64 bits each), n (shingles) of each row."""
+def least_hashes(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the smallest of sorted distinct hashes that any set with the Jaccard similarity has one of them among its own; none of a text of more than FEW / similarity."""
+    n = len(hashes)
+    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1 if 0 < n <= FEW / similarity + 1e-9 else 0]
+
+
+def fingerprints(docs: DataFrame, words: int, parts: int = 1, distinct: bool = False, similarity: float | None = None) -> DataFrame:
+    """doc_id, r1, r2 (row key), fps (array of `parts` longs: 64 bits each), n (shingles) of each row; with a similarity (of distinct shingles) also least (see least_hashes())."""
 
     def run(batches):
         for b in slices(batches):
-            fps, sizes = [], []
+            fps, sizes, least = [], [], []
             for t in b.column("text").to_pylist():
                 h = shingle_hashes(t, words)
                 h = np.unique(h) if distinct else h
                 fps += [simhash(_more(h, k)) for k in range(parts)]
                 sizes.append(len(h))
+                least.append(least_hashes(h, similarity).view(np.int64) if similarity else None)
             flat = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * parts), flat)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("r1"), b.column("r2"), lists, pa.array(sizes, pa.int64())], names=["doc_id", "r1", "r2", "fps", "n"])
+            made = [b.column("doc_id"), b.column("r1"), b.column("r2"), lists, pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made[: 6 if similarity else 5], names=["doc_id", "r1", "r2", "fps", "n", "least"][: 6 if similarity else 5])
 
     r1, r2 = row_keys(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), "text").mapInArrow(run, "doc_id long, r1 long, r2 long, fps array<long>, n long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), r1.alias("r1"), r2.alias("r2"), "text").mapInArrow(run, "doc_id long, r1 long, r2 long, fps array<long>, n long" + (", least array<long>" if similarity else ""))
 
 
 class _Labels:
@@ -340,10 +351,19 @@ def classes(fps: DataFrame, found: DataFrame) -> DataFrame:
     return rooted.join(least, "root").select("node", "component_id")
 
 
+def shared_links(nodes: DataFrame) -> DataFrame:
+    """a, b: links that connect nodes that have one of `least` in common."""
+    each = nodes.select("node", F.explode("least").alias("h"))
+    first = each.groupBy("h").agg(F.min("node").alias("b"), F.max("node").alias("most")).where(F.col("b") != F.col("most")).select("h", "b")
+    return each.join(first, "h").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
+
+
 def linked(fps: DataFrame, rule: Rule) -> DataFrame:
-    """node, root of the components that fingerprints within the rule make."""
-    each = written(fps.groupBy("node").agg(F.first("fps").alias("fps"), F.first("n").alias("n")), "fingerprints")
-    return components(written(links(each, rule), "links"))
+    """node, root of the components that fingerprints within the rule make, and shared hashes of few (`least`) if there are any."""
+    few = [c for c in fps.columns if c == "least"]
+    each = written(fps.groupBy("node").agg(*[F.first(c).alias(c) for c in ["fps", "n", *few]]), "fingerprints")
+    found = links(each, rule)
+    return components(written(found.union(shared_links(each)) if few else found, "links"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame:
@@ -362,12 +382,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, most: int = 3) -> DataFrame
 def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, r1, r2 (row key), component_id of each row: texts linked where their sets of shingles have the Jaccard similarity.
 
-    Candidates come from fingerprints (Rule.of_similarity). In each component of candidates one text of each
+    Candidates come from fingerprints (Rule.of_similarity); where one of two texts has at most FEW shingles, also from
+    shared shingles, and then none is missed. In each component of candidates one text of each
     fingerprint is read again, and pairs of sets with the similarity are the links. Texts of fewer than `words`
     words are one shingle, texts without words have none and are one group. The rest is as in near_duplicates().
     """
     rule = Rule.of_similarity(similarity)
-    fps = fingerprints(docs, words, rule.parts, distinct=True)
+    fps = fingerprints(docs, words, rule.parts, distinct=True, similarity=similarity)
     fps = written(fps.withColumn("node", F.xxhash64("fps", "n")), "simhash")
     near = linked(fps, rule)
     read = fps.join(near, "node").groupBy("node", F.col("root").alias("group")).agg(F.min(F.struct("r1", "r2")).alias("k"))

@@ -595,3 +595,16 @@ def test_no_toxic_word_is_skipped(form):
     for w in told:
         assert all(model.figure(with_words(rng, t, [form.format(w)])) > 0 for t in invented(rng, 100))
     assert all(model.figure(t) == 0 for t in invented(rng, 100))
+
+
+@pytest.mark.parametrize("common", [4, 12, 64, 200])
+def test_similar_texts_at_the_similarity(docs_of, common):
+    """All pairs at a similarity of 0.8 exactly, one text with words appended, are linked."""
+    rng = random.Random(common)
+    texts = []
+    for k in range(150):
+        words = [f"w{k}x{rng.randrange(10**6)}" for _ in range(common + 4 + common // 4)]
+        texts += [" ".join(words[: common + 4]), " ".join(words)]
+    assert all(jaccard(a, b) == 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    comp = {r.doc_id: r.component_id for r in op03_simhash.similar_texts(docs_of(*enumerate(texts))).collect()}
+    assert [comp[2 * k + 1] for k in range(150)] == [2 * k for k in range(150)]
