@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.shared import Written, shared_dir, written
 
-__all__ = ["SPACE", "WORD", "Written", "ascii_lower", "count_words", "held_out", "keep_columns", "row_keys", "shared_dir", "slices", "table", "written"]
+__all__ = ["SPACE", "WORD", "Written", "ascii_lower", "bounded_sample", "count_words", "held_out", "keep_columns", "row_keys", "shared_dir", "slices", "table", "written"]
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -38,6 +38,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def bounded_sample(rows: DataFrame, most: int, chars: int) -> DataFrame:
+    """rows (with text) cut to the first `most` by a hash of all columns, and of these to `chars` code points in all: a text that does not fit any more is left out.
+
+    Sizes and hashes alone are put in order; texts are read again and don't meet before they are chosen. Rows that are alike count once. The result is in the hash's order.
+    """
+    r1, r2 = row_keys(*[F.col(c) for c in rows.columns])
+    keyed = rows.withColumns({"__s1": r1, "__s2": r2})
+    first = keyed.select("__s1", "__s2", F.coalesce(F.char_length("text"), F.lit(0)).alias("n")).distinct().orderBy("__s1", "__s2").limit(most).collect()
+    chosen, left = [], chars
+    for r in first:
+        if r.n <= left:
+            chosen.append((r[0], r[1]))
+            left -= r.n
+    few = rows.sparkSession.createDataFrame(chosen, "__s1 long, __s2 long")  # `most` rows of two numbers
+    return keyed.join(F.broadcast(few), ["__s1", "__s2"]).dropDuplicates(["__s1", "__s2"]).orderBy("__s1", "__s2").select(*rows.columns)
+
+
 def keep_columns(df: DataFrame, made: list[str]) -> DataFrame:
     """df without columns that have the name of a result (the result replaces them)."""
     return df.drop(*[c for c in df.columns if c.lower() in {m.lower() for m in made}])

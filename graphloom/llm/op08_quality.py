@@ -16,12 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out, keep_columns, slices, table
+from graphloom.llm.common import bounded_sample, held_out, keep_columns, slices, table
 
 MADE = ["held_out", "score", "predicted"]
 BITS = 20
-#: Labelled documents that the model is trained on, at most; the smallest by a hash of the id.
-TRAIN_ROWS = 4000
+#: Labelled documents that the model is trained on, at most, the smallest by a hash of the id; and the code points of all of them.
+TRAIN_ROWS, TRAIN_CHARS = 4000, 64_000_000
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -96,24 +96,23 @@ def train(rows, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: floa
     return Model(w[:-1].astype(np.float32), float(w[-1]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id, text, y of at most `most` labelled documents outside the held-out fold, in a fixed order.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, chars: int) -> DataFrame:
+    """doc_id, text, y of labelled documents outside the held-out fold, in a fixed order: at most `most` rows and `chars` code points.
 
     Which and in what order is a hash of the id (and text, label for ties). Rows without an id, or with a label other than 0 and 1, are not used.
     """
     some = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # `most` rows of two numbers
-    return joined.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("text")).limit(most)
+    return bounded_sample(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), most, chars)  # `most` rows of two numbers
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, label: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, label: str = "quality") -> Model:
     def run(batches):
         for b in slices(batches):
             each = [np.unique(ngrams(t), return_counts=True) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.int32) for i, _ in each], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in each], pa.list_(pa.int32())), b.column("y")], names=["i", "c", "y"])
 
-    rows = labelled(docs, labels, label, most).mapInArrow(run, "i array<int>, c array<int>, y int").toArrow()
+    rows = labelled(docs, labels, label, most, chars).mapInArrow(run, "i array<int>, c array<int>, y int").toArrow()
     return train([(np.asarray(i.values), np.asarray(c.values), y.as_py()) for i, c, y in zip(rows["i"], rows["c"], rows["y"], strict=True)])
 
 
