@@ -1,10 +1,11 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines, a line a block of text. Lines of menus, headers, footers, sidebars, notices,
-adverts, forms and comments have no length, nor have lines that are mostly links; where a page marks an
-article or a main part, lines outside it have none either. The lengths are summed over sliding windows of
-lines: text begins where a window surges over the threshold and ends where windows dive to nothing, and
-the lines with length between are the article. The scan of a page is linear; there is no shuffle.
+Markup is stripped to lines, a line a block of text. A line's length is its text outside of links; lines of menus,
+headers, footers, sidebars, notices, adverts, forms and comments have none, nor have lines that are mostly links. The
+lengths are summed over sliding windows of lines: text begins where a window surges over the threshold and ends where
+windows dive to nothing. A surge takes the lines that adjoin it, too, and where it lies in an element that the page
+marks as an article or its main part, that element's beginning and end are the surge's and the dive's points: short first
+and last lines are of the article then. What has no surge is not kept, marked or not. The scan of a page is linear; there is no shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import keep_columns, slices, table
 
 MADE = ["text", "n_chars"]
-#: Lines of a window, the characters at which it surges without a marked article, and the share of link text that makes a line a menu's.
+#: Lines of a window, the characters at which it surges (the most of any window, if that is less), and the share of link text that makes a line a menu's.
 WINDOW, SURGE, LINKS = 3, 80, 0.5
 
 # fixed values: elements by their part in a page
@@ -43,10 +44,13 @@ _PARTS = re.compile(r"[A-Za-z]+")
 
 
 class _Node:
-    __slots__ = ("cleared", "inside", "left", "out", "tag", "up")
+    """An element; mark: the outermost article or main part that it is in or is."""
 
-    def __init__(self, tag: str, up: _Node | None, out: bool, inside: bool):
-        self.tag, self.up, self.out, self.inside = tag, up, out, inside
+    __slots__ = ("cleared", "left", "mark", "out", "tag", "up")
+
+    def __init__(self, tag: str, up: _Node | None, out: bool):
+        self.tag, self.up, self.out = tag, up, out
+        self.mark = up and up.mark or (self if tag in _MAIN else None)
         self.cleared, self.left = False, None
 
 
@@ -68,7 +72,7 @@ def _named_out(attrs: str, inside: bool) -> bool:
 
 def _lines(page: str) -> list[tuple[str, int, _Node]]:
     """(text, characters of it in links, node) of each block with text, in page order."""
-    root = node = _Node("", None, False, False)
+    node = _Node("", None, False)
     found: list[tuple[str, int, _Node]] = []
     parts: list[tuple[str, bool]] = []
     link, at, n, tags = 0, 0, len(page), _TAG
@@ -123,14 +127,13 @@ def _lines(page: str) -> list[tuple[str, int, _Node]]:
                 opened[tag] -= 1
                 node = node.up
             continue
-        inside = node.inside or tag in _MAIN
         if tag == "p" and node.tag == "p" or tag in ("li", "option", "tr", "td", "th", "dt", "dd") and node.tag == tag:
             opened[tag] -= 1
             node = node.up
         if tag in _VOID:
             continue
-        out = tag in _OUT or tag == "header" and not node.inside or tag not in ("html", "body", "main") and _named_out(m[3], node.inside or tag == "article")
-        new = _Node(tag, node, out, inside)
+        out = tag in _OUT or tag == "header" and not node.mark or tag not in ("html", "body", "main") and _named_out(m[3], bool(node.mark) or tag == "article")
+        new = _Node(tag, node, out)
         if tag in _MAIN and not out and not marked:  # what holds the first article is no menu, whatever its name, nor is one that was left open before it
             marked, up = True, node
             while up is not None and not up.cleared:
@@ -161,20 +164,29 @@ def _left_out(node: _Node | None) -> bool:
     return left
 
 
+def windows(length: list[int]) -> list[int]:
+    """The sums of each line's length and the next ones', WINDOW lines in all."""
+    return [sum(length[i : i + WINDOW]) for i in range(len(length))]
+
+
 def main_text(page: str | None) -> str:
     r"""The article's blocks joined by \n; "" of a null or empty page, or one without text."""
     lines = _lines(page or "")
     open_ = [not _left_out(node) for *_, node in lines]
-    marked = any(ok and node.inside for ok, (*_, node) in zip(open_, lines, strict=True))
-    length = [len(t) if ok and (node.inside if marked else k <= LINKS * len(t)) else 0 for ok, (t, k, node) in zip(open_, lines, strict=True)]
-    surge = 1 if marked else min(SURGE, max((sum(length[i : i + WINDOW]) for i in range(len(length))), default=1) or 1)
-    kept, going = [], False
-    for i, size in enumerate(length):
-        window = sum(length[i : i + WINDOW])
-        going = window >= surge or going and window > 0
-        if going and size:
-            kept.append(lines[i][0])
-    return "\n".join(kept)
+    length = [len(t) - k if ok and k <= LINKS * len(t) else 0 for ok, (t, k, _) in zip(open_, lines, strict=True)]
+    sums = windows(length)
+    surge = min(SURGE, max(sums, default=0)) or 1
+    # lines from a surge to its dive
+    kept, going = [False] * len(lines), False
+    for i, total in enumerate(sums):
+        going = total >= surge or going and total > 0
+        kept[i] = going and length[i] > 0
+    for i in range(len(lines) - 2, -1, -1):  # and those that lead to it without a gap
+        kept[i] = kept[i] or kept[i + 1] and length[i] > 0
+    marks = {id(node.mark) for size, total, (*_, node) in zip(length, sums, lines, strict=True) if size and total >= surge and node.mark}
+    if marks:
+        kept = [ok and id(node.mark) in marks for ok, (*_, node) in zip(open_, lines, strict=True)]
+    return "\n".join(t for k, (t, *_) in zip(kept, lines, strict=True) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
