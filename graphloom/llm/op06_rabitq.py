@@ -1,12 +1,12 @@
 """Nearest neighbours by randomly rotated one-bit codes, with error bounds that choose what is reranked.
 
-Each vector is made a unit vector, rotated by a fixed random rotation, and kept as the signs of its
-components in packed bits with two correction scalars: its norm and the inner product c of the unit
-vector with its own code. For a query, quantised to four bits a component, the inner product with all
-codes of a block comes from bit planes and bit counts; divided by c and scaled by the norms it is
+Each vector is made a unit vector, padded with zeros to LEAST_BITS components (more, if it has more), rotated by
+a fixed random rotation, and kept as the signs of its components in packed bits with two correction scalars: its norm and
+the inner product c of the unit vector with its own code. For a query, quantised to four bits a component, the inner
+product with all codes of a block comes from bit planes and bit counts; divided by c and scaled by the norms it is
 an unbiased estimate, off by at most EPSILON standard errors sqrt((1 - c^2) / c^2 / (D - 1)) for all but few.
-Every row has a code; rows whose upper bound reaches the k-th exact score of the block's most promising are
-reranked with their original vectors, in double precision.
+Every row has a code. The 4 k rows of a block with the best estimates are scored first, and their k-th score is the bar; of all
+others only rows whose upper bound reaches the bar are reranked with their original vectors, in double precision.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ from graphloom.llm.vectors import clean, matrix, query_columns, result, search,
 #: Standard errors within which estimates count as bounded: 3 loses one pair in about 700 near the bar.
 EPSILON = 3.0
 SEED, PLANES = 11, 4
+#: Bits of a code at least: bounds are as wide as one over the root of the bits.
+LEAST_BITS = 512
 
 
 @functools.lru_cache(maxsize=2)
 def rotation(dim: int) -> np.ndarray:
-    """A random rotation of `dim` components padded to whole 64-bit words: the same everywhere."""
-    wide = -(-dim // 64) * 64
+    """A random rotation of `dim` components padded to LEAST_BITS and whole 64-bit words: the same everywhere."""
+    wide = max(LEAST_BITS, -(-dim // 64) * 64)
     q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((wide, wide)))
     return (q * np.sign(np.diag(r)))[:, :dim]
 
@@ -67,9 +69,10 @@ def estimates(code: np.ndarray, queries: np.ndarray) -> np.ndarray:
     level = np.rint((queries - low) / step).astype(np.uint8)
     inner = np.zeros((len(queries), len(code)))
     for p in range(PLANES):
-        plane = _pack((level >> p) & 1)
+        plane, both = _pack((level >> p) & 1), np.zeros(inner.shape, np.uint32)
         for w in range(code.shape[1]):
-            inner += np.bitwise_count(plane[:, w, None] & code[None, :, w]) * float(1 << p)
+            both += np.bitwise_count(plane[:, w, None] & code[None, :, w])
+        inner += both * float(1 << p)
     ones = np.bitwise_count(code).sum(axis=1).astype(np.float64)
     whole = level.sum(axis=1, keepdims=True) * step + wide * low
     return (2 * (step * inner + low * ones[None, :]) - whole) / np.sqrt(wide)
@@ -83,6 +86,14 @@ def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
+def chosen(guess: np.ndarray, error: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the rows whose estimate and error reach the k-th best exact score of the 4 k best estimates; -inf is no row."""
+    first = np.argpartition(guess, -min(4 * k, len(guess)))[-min(4 * k, len(guess)) :]
+    first = first[np.isfinite(guess[first])]
+    bar = np.partition(x[first] @ q, len(first) - k)[len(first) - k] if len(first) >= k else -np.inf
+    return np.flatnonzero((guess + error >= bar - 1e-9 * abs(bar)) & np.isfinite(guess))
+
+
 def nearest(data: pa.Table, asked: pa.Table, k: int, epsilon: float = EPSILON) -> pa.Table:
     """The k nearest of a block for each of a block of queries."""
     out: tuple[list, list, list, list] = ([], [], [], [])
@@ -95,18 +106,11 @@ def nearest(data: pa.Table, asked: pa.Table, k: int, epsilon: float = EPSILON) -
     qx, qid, qrow = matrix(asked, "query_vector"), asked.column("query_id").to_numpy(), asked.column("query_row").to_numpy()
     qnorm = np.linalg.norm(qx, axis=1)
     turned = (qx / qnorm[:, None]) @ rotation(x.shape[1]).T
-    for at in range(0, len(qx), 64):
-        guess = estimates(code, turned[at : at + 64]) / own[None, :] * norm[None, :]
+    for at in range(0, len(qx), 32):
+        guess = estimates(code, turned[at : at + 32]) * (norm / own)[None, :] * qnorm[at : at + 32, None]
+        guess[qrow[at : at + 32, None] == own_row[None, :]] = -np.inf
         for j, g in enumerate(guess, at):
-            upper = (g + error) * qnorm[j]
-            upper[own_row == qrow[j]] = -np.inf
-            first = np.argpartition(upper, -min(k, len(upper)))[-min(k, len(upper)) :]
-            scores = x[first] @ qx[j]
-            bar = scores.min() if len(first) == k and np.isfinite(upper[first]).all() else -np.inf
-            # a whole product costs less than picking rows where many may qualify
-            some = np.flatnonzero((upper >= bar - 1e-9 * abs(bar)) & np.isfinite(upper))
-            rough = x[some] @ qx[j] if len(some) * 4 < len(x) else (x @ qx[j])[some]
-            some = some[top(rough, ids[some], min(len(some), 2 * k))]  # more than k, as the sums may differ in the last digits
+            some = chosen(g, error * qnorm[j], x, qx[j], k)
             scores = exact(x[some], qx[j])
             best = top(scores, ids[some], k)
             for part, value in zip(out, (np.full(len(best), qrow[j]), np.full(len(best), qid[j]), ids[some[best]], scores[best]), strict=True):

@@ -1,11 +1,11 @@
 """Exact top-k search by no-random-access aggregation over sorted lists.
 
-Vectors are integers: floor(256 x). A block of rows has a sorted list for each component. A query reads
-each list from the end that its own component's sign makes the best, in rounds. What a row has shown adds up; what it
-has not is at most the frontier of the list, so sums and frontiers give each row an upper bound. The
-k rows with the best bounds are resolved early and their k-th score is the bar. Reading stops when few outsiders'
-upper bounds reach the bar; those are resolved, and the k best scores are exact.
-Sorted lists and frontiers are shared by all queries of a block, so a round is array work for many queries.
+Vectors are integers: floor(256 x). A block of rows has a sorted list for each component. A query reads all lists together
+from the ends that its own components' signs make the best, a fixed number of places a round. What a row has shown
+adds up; a list that has not shown it adds at most the list's frontier and at least its far end, so each row has an
+upper and a lower bound. The k-th best lower bound is the bar. A query stops reading when few rows but its k best have an upper
+bound that reaches the bar: no other can qualify. Only then are rows looked up: the few that are left are resolved, and the k best scores are exact.
+Sorted lists are shared by all queries of a block, so a round is array work for the queries that still read.
 """
 
 from __future__ import annotations
@@ -19,37 +19,77 @@ from graphloom.llm.common import table
 from graphloom.llm.vectors import clean, matrix, query_columns, result, search, top
 
 SCALE = 256
-#: Depths of the rounds as shares of the lists, queries read together, and the share of rows that may be left to resolve.
-DEPTHS, TOGETHER, LEFT = (0.25, 0.5, 0.625, 0.75, 1.0), 64, 0.02
+#: Places that a round reads of each list, queries that read together, and rows for each of the k best that may be left to resolve.
+PLACES, TOGETHER, LEFT = 128, 64, 32
 
 
 class Lists:
     """A block's rows as integers, and a sorted list for each component."""
 
     def __init__(self, v: np.ndarray):
-        self.v = v
         self.n, self.dim = v.shape
         self.order = np.argsort(v, axis=0, kind="stable").T.copy()  # ascending; read from either end
         self.sorted = np.take_along_axis(v, self.order.T, axis=0).T.copy()
-        self.place = np.empty_like(self.order)
-        np.put_along_axis(self.place, self.order, np.arange(self.n)[None, :].repeat(self.dim, axis=0), axis=1)
-
-    def segment(self, sums: np.ndarray, lo: int, hi: int, up: np.ndarray, down: np.ndarray) -> None:
-        """Reads places lo..hi of each list from its high end for `up` (positive components) and its low end for `down`."""
-        for d in range(self.dim):
-            if up[d].any():
-                at = slice(self.n - hi, self.n - lo)
-                sums[self.order[d, at]] += self.sorted[d, at, None] * up[d][None, :]
-            if down[d].any():
-                at = slice(lo, hi)
-                sums[self.order[d, at]] += self.sorted[d, at, None] * down[d][None, :]
-
-    def upper(self, sums: np.ndarray, depth: int, up: np.ndarray, down: np.ndarray) -> np.ndarray:
-        """What rows have shown, and the frontier for each list that hasn't shown them."""
-        if depth >= self.n:
-            return sums
-        top_, low = self.sorted[:, self.n - depth], self.sorted[:, depth - 1]
-        return sums + (self.place < self.n - depth).T @ (top_[:, None] * up) + (self.place >= depth).T @ (low[:, None] * down)
+
+
+class Reading:
+    """What some queries (rows of q) have read of the lists, all to the same depth."""
+
+    def __init__(self, lists: Lists, q: np.ndarray):
+        self.lists, self.depth = lists, 0
+        self.up, self.down = np.maximum(q, 0).T, np.minimum(q, 0).T
+        self.sums = np.zeros((lists.n, len(q)), dtype=q.dtype)
+        # which rows each list has shown from its high end and from its low end
+        self.seen = np.zeros((lists.n, 2 * lists.dim), dtype=q.dtype)
+
+    def further(self, places: int) -> None:
+        """Reads so many places more of each list: from its high end for positive components, from its low end for negative ones."""
+        x = self.lists
+        lo, hi = self.depth, min(self.depth + places, x.n)
+        for d in range(x.dim):
+            for side, at, of in ((0, slice(x.n - hi, x.n - lo), self.up[d]), (1, slice(lo, hi), self.down[d])):
+                if of.any():
+                    rows = x.order[d, at]
+                    self.sums[rows] += x.sorted[d, at, None] * of[None, :]
+                self.seen[x.order[d, at], side * x.dim + d] = 1
+        self.depth = hi
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all scores: what rows have shown, and for each list that hasn't shown them its far end, or its frontier."""
+        x, ends = self.lists, []
+        if self.depth >= x.n:
+            return self.sums, self.sums
+        for high, low in ((x.sorted[:, 0], x.sorted[:, -1]), (x.sorted[:, x.n - self.depth], x.sorted[:, self.depth - 1])):
+            rest = np.concatenate([high[:, None] * self.up, low[:, None] * self.down])
+            ends.append(self.sums + rest.sum(axis=0)[None, :] - self.seen @ rest)
+        return ends[0], ends[1]
+
+    def only(self, queries: np.ndarray) -> None:
+        """Goes on with some of the queries."""
+        self.up, self.down, self.sums = self.up[:, queries], self.down[:, queries], self.sums[:, queries]
+
+
+def read(lists: Lists, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, int]]:
+    """For each query (rows of q) the rows that can be among its k best when it stops reading, and the depth at which it did. own: rows that a query may not find."""
+    found: list[tuple[np.ndarray, int]] = [(np.empty(0, np.int64), 0)] * len(q)
+    reading, left = Reading(lists, q), np.arange(len(q))
+    while len(left):
+        reading.further(PLACES)
+        lower, upper = reading.bounds()
+        stay = []
+        for j, query in enumerate(left):
+            free = ~own[:, query]
+            some = lower[free, j]
+            bar = np.partition(some, len(some) - k)[len(some) - k] if len(some) >= k else None
+            able = np.flatnonzero(free & (upper[:, j] >= bar)) if bar is not None else np.flatnonzero(free)
+            if len(able) <= LEFT * k or reading.depth >= lists.n:
+                found[query] = (able, reading.depth)
+            else:
+                stay.append(j)
+        if len(stay) < len(left):
+            reading.only(np.array(stay, dtype=np.int64))
+            left = left[stay]
+    return found
 
 
 def best_scores(data: pa.Table, asked: pa.Table, k: int) -> pa.Table:
@@ -57,18 +97,13 @@ def best_scores(data: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     out: tuple[list, list, list, list] = ([], [], [], [])
     if not data.num_rows or not asked.num_rows:
         return result(*out, pa.int64())
-    v, qv = np.floor(SCALE * matrix(data)), np.floor(SCALE * matrix(asked, "query_vector"))
-    if np.abs(v).max() * np.abs(qv).max() * v.shape[1] >= 2**53:
-        v, qv = (_exact_ints(x) for x in (v, qv))
+    v, qv = integers(np.floor(SCALE * matrix(data)), np.floor(SCALE * matrix(asked, "query_vector")))
     ids, rows = data.column("vec_id").to_numpy(), data.column("row").to_numpy()
     qid, qrow = asked.column("query_id").to_numpy(), asked.column("query_row").to_numpy()
     lists = Lists(v)
     for a in range(0, len(qv), TOGETHER):
         q = qv[a : a + TOGETHER]
-        own = rows[:, None] == qrow[None, a : a + TOGETHER]
-        bar, upper = _read(lists, q, own, k)
-        for j in range(len(q)):
-            some = np.flatnonzero((upper[:, j] >= bar[j]) & ~own[:, j])
+        for j, (some, _) in enumerate(read(lists, q, rows[:, None] == qrow[None, a : a + TOGETHER], k)):
             scores = v[some] @ q[j]
             best = top(scores, ids[some], k)
             for part, value in zip(out, (np.full(len(best), qrow[a + j]), np.full(len(best), qid[a + j]), ids[some[best]], scores[best].astype(np.int64)), strict=True):
@@ -76,32 +111,13 @@ def best_scores(data: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     return result(*out, pa.int64())
 
 
-def _exact_ints(x: np.ndarray) -> np.ndarray:
-    """Python integers where sums of doubles would not be exact."""
-    return np.array([[int(c) for c in r] for r in x], dtype=object)
-
-
-def _read(lists: Lists, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bar (a score that k rows reach) and the upper bounds at which reading stopped."""
-    up, down = np.maximum(q, 0).T, np.minimum(q, 0).T
-    sums = np.zeros((lists.n, len(q)), dtype=lists.v.dtype)
-    none = -np.inf
-    depth, bar, upper = 0, np.full(len(q), none, dtype=object if sums.dtype == object else float), sums
-    for share in DEPTHS:
-        to = max(depth + 1, int(np.ceil(share * lists.n)))
-        to = min(to, lists.n)
-        lists.segment(sums, depth, to, up, down)
-        depth = to
-        upper = lists.upper(sums, depth, up, down)
-        open_ = np.where(own, none, upper)
-        if lists.n > k:
-            for j in range(len(q)):
-                first = np.argpartition(open_[:, j], -k)[-k:]
-                if not own[first, j].any():
-                    bar[j] = max(bar[j], (lists.v[first] @ q[j]).min())
-        if depth >= lists.n or (open_ >= bar[None, :]).sum(axis=0).max() <= max(4 * k, LEFT * lists.n):
-            break
-    return bar, upper
+def integers(v: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers as the narrowest type in which all sums of products are exact; Python's integers, if no other is."""
+    most = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * v.shape[1] * 2
+    if most < 2**53:
+        kind = np.float32 if most < 2**24 else np.float64
+        return v.astype(kind), q.astype(kind)
+    return tuple(np.array([[int(c) for c in r] for r in x], dtype=object) for x in (v, q))
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:

@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import written
 
-#: Blocks that vectors are cut into at least (so work spreads), vectors of a block and queries of a block at most.
-PARTS, MOST, MOST_QUERIES = 24, 16384, 4096
+#: Blocks that vectors are cut into if these have LEAST rows then (so work spreads, and bounds within a block tell), rows of a block at most, bytes of a block's vectors at most, queries of a block at most.
+PARTS, LEAST, MOST, MOST_BYTES, MOST_QUERIES = 24, 2048, 16384, 64 << 20, 4096
 
 
 def clean(vectors: DataFrame, zero: bool) -> DataFrame:
     """row, vec_id, embedding of the rows that take part, written out so that row stays what it is.
 
-    Left out: rows without an id, vectors that are null or empty or hold null, NaN or infinity, with
-    zero=False those of zeros only, and vectors of another length than most (a tie: than the longer).
+    Left out: rows without an id, vectors that are null or empty or hold null, NaN or infinity, and with
+    zero=False those of zeros only. Vectors of several lengths have no inner products: an error.
     """
     e = F.col("embedding")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -28,8 +28,10 @@ def clean(vectors: DataFrame, zero: bool) -> DataFrame:
     if not zero:
         kept = kept.where(F.exists(e, lambda x: x != 0))
     rows = written(kept.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    length = rows.groupBy(F.size(e).alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size(e) == (length[0].n if length else 0))
+    length = rows.agg(F.min(F.size(e)).alias("least"), F.max(F.size(e)).alias("most")).first()
+    if length.least != length.most:
+        raise ValueError(f"vectors have {length.least} to {length.most} components")
+    return rows
 
 
 def matrix(table: pa.Table, name: str = "embedding") -> np.ndarray:
@@ -52,8 +54,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int, best: Callable[[pa.Table
     vec_id, score. A row is sent once for each block of queries, and the k best of the blocks are all
     that meets in the end. Ties go to the smaller vec_id.
     """
-    n = rows.count()
-    db, qb = max(1, min(n, max(PARTS, -(-n // MOST)))), max(1, -(-queries.count() // MOST_QUERIES))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    most = max(1, min(MOST, MOST_BYTES // (8 * (size.dim or 1))))
+    db, qb = max(1, min(PARTS, size.n // LEAST), -(-size.n // most)), max(1, -(-queries.count() // min(most, MOST_QUERIES)))
     part = lambda row, n: F.pmod(F.xxhash64(row), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = rows.select("*", part("row", db).alias("d"), every(qb).alias("q"))

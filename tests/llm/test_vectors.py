@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from oracle import differences
 
@@ -64,7 +65,7 @@ def test_bounds_hold(spark):
     code, norm, own = op06_rabitq.encode(x)
     q = x[:50] / np.linalg.norm(x[:50], axis=1, keepdims=True)
     guess = op06_rabitq.estimates(code, q @ op06_rabitq.rotation(64).T) / own * norm
-    error = norm * np.sqrt(1 - own**2) / own * op06_rabitq.EPSILON / np.sqrt(63)
+    error = norm * np.sqrt(1 - own**2) / own * op06_rabitq.EPSILON / np.sqrt(op06_rabitq.LEAST_BITS - 1)
     assert (np.abs(guess - q @ x.T) <= error).mean() > 0.99
 
 
@@ -73,18 +74,61 @@ def test_top_k(spark):
     assert sorted(tuple(r) for r in op10_nra.top_k(frame(spark, rows), 50, 5).collect()) == plain(rows, 50, 5, floors, True)
 
 
-def test_reading_stops_early():
-    """Correlated lists need not be read to their ends."""
+def test_codes_choose_what_is_reranked():
+    """On the embeddings of sf0.1: few rows are scored, and hardly a neighbour is missed."""
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").sort_by("vec_id")
+    x = np.array(rows["embedding"].to_pylist(), dtype=np.float64)
+    code, norm, own = op06_rabitq.encode(x)
+    error = norm * np.sqrt(1 - own**2) / own * op06_rabitq.EPSILON / np.sqrt(op06_rabitq.LEAST_BITS - 1)
+    share, hits = [], []
+    for q in range(0, 2000, 20):
+        guess = op06_rabitq.estimates(code, x[q : q + 1] @ op06_rabitq.rotation(64).T / np.linalg.norm(x[q]))[0] / own * norm * np.linalg.norm(x[q])
+        guess[q] = -np.inf
+        some = op06_rabitq.chosen(guess, error * np.linalg.norm(x[q]), x, x[q], 20)
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        share.append(len(some) / len(x))
+        hits.append(len(set(np.argsort(-scores)[:20]) & set(some)) / 20)
+    assert np.mean(share) < 0.12 and np.mean(hits) >= 0.99
+
+
+def lists_of(rng, n, dim, spread):
+    """Correlated integer vectors, with ties."""
+    return np.floor(40 * (rng.normal(size=(n, 1)) + spread * rng.normal(size=(n, dim))))
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0, 5.0])
+def test_bounds_of_a_reading(spread):
+    """At each depth every score is between its bounds, and they meet at the lists' ends."""
+    rng = np.random.default_rng(1)
+    v, q = lists_of(rng, 700, 12, spread), np.floor(40 * rng.normal(size=(9, 12)))
+    q[:, 3] = 0
+    scores = v @ q.T
+    reading = op10_nra.Reading(op10_nra.Lists(v), q)
+    wide = []
+    while reading.depth < 700:
+        reading.further(64)
+        lower, upper = reading.bounds()
+        assert (lower <= scores).all() and (scores <= upper).all()
+        wide.append((upper - lower).sum())
+    assert wide == sorted(wide, reverse=True) and (lower == upper).all()
+
+
+def test_each_query_stops_reading_for_itself():
+    """Nobody who could be among the k best is left out, and correlated lists are not read to their ends."""
     rng = np.random.default_rng(0)
-    v = np.floor(256 * (rng.normal(size=(4000, 1)) + 0.05 * rng.normal(size=(4000, 8))))
-    lists = op10_nra.Lists(v)
-    read = []
-    plain_segment = lists.segment
-    lists.segment = lambda sums, lo, hi, up, down: (read.append(hi), plain_segment(sums, lo, hi, up, down))
-    q = np.ones((1, 8))
-    bar, upper = op10_nra._read(lists, q, np.zeros((4000, 1), bool), 5)
-    scores = v @ q[0]
-    assert max(read) < 4000 and (upper[:, 0] >= scores).all() and bar[0] <= np.sort(scores)[-5]
+    v = lists_of(rng, 4000, 8, 0.05)
+    q = np.concatenate([np.ones((3, 8)), rng.normal(size=(3, 8))]).round(1) * 10
+    own = np.zeros((4000, 6), bool)
+    own[np.argmax(v @ q[0]), 0] = True
+    found = op10_nra.read(op10_nra.Lists(v), q, own, 5)
+    for j, (some, depth) in enumerate(found):
+        scores = np.where(own[:, j], -np.inf, v @ q[j])
+        best = set(np.flatnonzero(scores >= np.sort(scores)[-5]))
+        assert best <= set(some) and not own[some, j].any()
+        assert len(some) <= op10_nra.LEFT * 5 or depth == 4000
+    depths = [d for _, d in found]
+    assert max(depths[:3]) < 1000 and len(set(depths)) > 1
 
 
 def test_large_integers(spark):
@@ -98,8 +142,8 @@ def test_odd_vectors(spark, op, measure, zero, clashing):
     rows = [(0, [1, 2]), (0, [1, 2]), (1, [1, 2]), (2, [0, 0]), (3, None), (4, []), (5, [None, 1]), (6, [nan, 1]), (7, [inf, 1]), (None, [3, 3]), (8, [1, 2]), (-20, [2, 1]), (100, [1, 2])]
     df = clashing(frame(spark, rows), "row", "d", "q", "rank", "score", "code")
     assert sorted(tuple(r) for r in op(df, 20, 3).collect()) == plain(rows, 20, 3, measure, zero)
-    other = rows + [(200, [1, 2, 3])]
-    assert sorted(tuple(r) for r in op(frame(spark, other), 20, 3).collect()) == plain(rows, 20, 3, measure, zero)
+    with pytest.raises(ValueError, match="1 to 3 components"):
+        op(frame(spark, [(0, [1, 2]), (200, [1, 2, 3]), (3, [1]), (4, None)]), 20, 3)
     assert op(df.limit(0), 20, 3).count() == 0
     assert op(frame(spark, [(0, [1, 2])]), 20, 3).count() == 0
 
