@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target share of words fixes how many copies each of its documents should get on average
-(target / source_size, 2 at most). The whole part is certain. The rest p in [0, 1) is the inclusion
-probability of one more copy: documents are ranked by the odds of a random number over the odds of
-p, and the sample is the beginning of that order that fills the source's words, so its size is fixed.
+A source's target share of words fixes how many copies its documents should get on average, and longer documents get
+more: a document's share of copies is in proportion to LEAN plus the octave of its size, 2 at most, at the level that
+makes its source's words the target (found over a source's octaves, of which there are 63 at most). The whole part of the
+copies is certain. The rest p in [0, 1) is the inclusion probability of one more copy, unequal from octave to octave:
+documents are ranked by the odds of a random number over the odds of their p, and the sample is the beginning of that order that
+fills the source's words, so its size is fixed.
 
 Scale: no source is sorted as a whole. Ranks fall into `BINS` bins; words are summed per source and
 bin (combined before the shuffle), running sums over that bounded table find the one bin in which the
@@ -20,7 +22,9 @@ from graphloom.llm.common import count_words, keep_columns, row_keys, table, wri
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-#: Bins of the random number; a bin of a source of n documents has about n / BINS.
+#: What a document's weight has besides the octave of its size: the larger, the more alike are long and short ones.
+LEAN = 8
+#: Bins of the ranks r, by r / (1 + r).
 BINS = 4096
 MADE = ["size", "source_size", "target", "taken"]
 
@@ -48,10 +52,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def _ranked(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with size and what the order needs: a random number in (0, 1) and a hash of the text."""
+    """docs with size, its octave (-1: no words) and what the order needs: a random number in (0, 1) and a hash of the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
-    return docs.withColumns({"size": count_words(F.col("text")), "__u": u, "__t": row_keys(text)[0]})
+    sized = docs.withColumns({"size": count_words(F.col("text")), "__u": u, "__t": row_keys(text)[0]})
+    return sized.withColumn("__octave", F.when(F.col("size") > 0, F.length(F.bin("size")) - 1).otherwise(-1))
 
 
 def _odds(x):
@@ -64,20 +69,38 @@ def _with_rank(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__order", F.when((F.col("__p") > 0) & (F.col("size") > 0), F.struct(rank.alias("rank"), F.col("__u").alias("u"), F.col("__t").alias("t"), F.col("doc_id").alias("id"))))
 
 
-def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row a source: __s, source_size, target, __whole, __p, __cut, __best.
+def shares(classes: DataFrame, most: float = MOST, lean: int = LEAN) -> DataFrame:
+    """classes (source, octave, words, source_size, target) with whole and p, the certain copies of a document and the chance of one more, and need, the words that the chances are to fill.
+
+    Copies are weight x level, `most` at most. As in targets(), the level is found in one pass: octaves of the largest weights fill up first.
+    """
+    larger = Window.partitionBy("source").orderBy(F.desc("octave"))
+    before = F.coalesce(F.sum("words").over(larger.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    weight = F.col("octave") + F.lit(lean)
+    rest = F.sum(weight * F.col("words")).over(larger.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    found = classes.withColumn("weight", weight).withColumn("level", (F.col("target") - F.lit(float(most)) * before) / F.nullif(rest, F.lit(0)))
+    every = Window.partitionBy("source")
+    free = (F.col("words") > 0) & (F.col("level") * F.col("weight") < most)
+    found = found.withColumn("at", F.max(F.when(free, F.struct("octave", "level"))).over(every))
+    copies = F.when(F.col("at").isNull() | (F.col("octave") > F.col("at.octave")), F.lit(float(most))).otherwise(F.col("weight") * F.col("at.level"))
+    found = found.withColumn("copies", F.when(F.col("words") > 0, copies).otherwise(0.0)).withColumn("whole", F.floor("copies").cast("long"))
+    found = found.withColumn("need", F.col("target") - F.sum(F.col("whole") * F.col("words")).over(every))
+    return found.select("source", "octave", "source_size", "target", "whole", (F.col("copies") - F.col("whole")).alias("p"), "need")
+
+
+def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, lean: int = LEAN) -> DataFrame:
+    """One row a source and octave: __s, __o, source_size, target, whole, __p, cut, best.
 
     Documents get `whole` copies, those before `cut` in the order (all, if cut is null) one more, and so does `best`.
     """
-    rows = rows.select("doc_id", "source", "size", "__u", "__t")
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    size = F.nullif(F.col("source_size"), F.lit(0))
-    goal = goal.withColumn("whole", F.coalesce(F.floor(F.col("target") / size), F.lit(0)).cast("long"))
-    goal = goal.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = written(goal.withColumn("__p", F.coalesce(F.col("need") / size, F.lit(0.0))).withColumnRenamed("source", "__s"), "mix-goals")
+    rows = rows.select("doc_id", "source", "size", "__octave", "__u", "__t")
+    classes = rows.groupBy("source", F.col("__octave").alias("octave")).agg(F.sum("size").alias("words"))
+    goal = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most).withColumnRenamed("source", "__s")
+    classes = classes.join(goal, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    goal = written(shares(classes, most, lean).withColumnsRenamed({"source": "__s", "octave": "__o", "p": "__p"}), "mix-goals")
     of = lambda small: F.col("source").eqNullSafe(small["__s"])
-    ranked = _with_rank(rows.join(goal, of(goal))).where(F.col("__order").isNotNull()).drop("__s")
-    ranked = ranked.withColumn("bin", F.floor(F.col("__u") * BINS).cast("int"))
+    ranked = _with_rank(rows.join(goal, of(goal) & (F.col("__octave") == F.col("__o")))).where(F.col("__order").isNotNull()).drop("__s", "__o")
+    ranked = ranked.withColumn("bin", F.floor(F.col("__order.rank") / (1 + F.col("__order.rank")) * BINS).cast("int"))
     run = Window.partitionBy("source").orderBy("bin")
     bins = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
     bins = bins.withColumn("before", F.sum("words").over(run) - F.col("words"))
@@ -94,30 +117,30 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     miss = F.abs(F.col("size") - gap)
     spare = ranked.join(cut, of(cut)).where((F.col("__order") >= F.col("cut")) & (miss < gap))
     spare = spare.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), F.col("__order").alias("order"))).alias("best")).select(F.col("source").alias("__b"), F.col("best.order").alias("best"))
-    goal = goal.select("__s", "source_size", "target", "whole", "__p")
+    goal = goal.select("__s", "__o", "source_size", "target", "whole", "__p")
     joined = goal.join(cut.select(F.col("__s").alias("__c"), "cut"), F.col("__s").eqNullSafe(F.col("__c")), "left")
     return joined.join(spare, F.col("__s").eqNullSafe(F.col("__b")), "left").drop("__b", "__c")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7, lean: int = LEAN) -> DataFrame:
     """docs with size, source_size, target, taken (words that the mix takes of the row, repeats counted).
 
-    size is the number of words (null text: 0). Each document gets the whole copies of
-    target / source_size; Pareto order sampling picks who gets one more. The order's beginning is
+    size is the number of words (null text: 0). Each document gets the whole copies of its share
+    (see shares()); Pareto order sampling picks who gets one more. The order's beginning is
     taken while it stays within the source's words; then the one document outside whose size comes
     nearest to what is left is taken too, if that brings the source nearer to its target. The random
     number is a hash of doc_id and seed (ties: of the text), so reruns agree; rows that are alike in
     both are all before the cut or all not, and are all taken if they are the nearest. A null source is a source of its own;
     sources without words have target 0 and give nothing. Columns of the names made are replaced.
 
-    The plan has one row a source: its size on disk decides whether it is broadcast, and where there
+    The plan has one row a source and octave: its size on disk decides whether it is broadcast, and where there
     are too many sources, adaptive execution splits a hot one in the join.
     """
     base = keep_columns(docs, MADE)
     rows = written(_ranked(base.select("doc_id", "source", "text"), seed).drop("text"), "mix-sizes")
-    made = plan(rows, weights, share, most).withColumnsRenamed({"whole": "__whole", "cut": "__cut", "best": "__best"})
+    made = plan(rows, weights, share, most, lean).withColumnsRenamed({"whole": "__whole", "cut": "__cut", "best": "__best"})
     made = written(made, "mix-plan")
-    out = _with_rank(_ranked(base, seed).join(made, F.col("source").eqNullSafe(F.col("__s"))))
+    out = _with_rank(_ranked(base, seed).join(made, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__octave") == F.col("__o"))))
     more = F.col("__order").isNotNull() & (F.col("__cut").isNull() | (F.col("__order") < F.col("__cut")) | F.coalesce(F.col("__order") == F.col("__best"), F.lit(False)))
     taken = F.col("size") * (F.col("__whole") + more.cast("long"))
     return out.select(*base.columns, "size", "source_size", "target", taken.alias("taken"))
@@ -137,10 +160,17 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
         / sum(w) OVER (ORDER BY cap / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 a AS (SELECT min({'k': cap / w, 'n': n, 'level': level}) FILTER (WHERE NOT (level * w >= cap)) AS at FROM l),
 t AS (SELECT source, source_size, CASE WHEN a.at IS NULL OR (cap / w, n) < (a.at.k, a.at.n) THEN cap ELSE w * a.at.level END AS target FROM l, a),
-g AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS whole FROM t),
-p AS (SELECT *, target - whole * source_size AS need, coalesce((target - whole * source_size) / nullif(source_size, 0), 0) AS p FROM g),
+o AS (SELECT source, octave, octave + 8 AS weight, sum(size)::BIGINT AS words FROM (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) - 1 ELSE -1 END AS octave FROM d) GROUP BY source, octave),
+v AS (SELECT o.*, t.source_size, t.target,
+        (t.target - 2.0::DOUBLE * coalesce(sum(words) OVER (PARTITION BY o.source ORDER BY octave DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / nullif(sum(weight * words) OVER (PARTITION BY o.source ORDER BY octave DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level
+      FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT source, max({'octave': octave, 'level': level}) AS free FROM v WHERE words > 0 AND level * weight < 2.0::DOUBLE GROUP BY source),
+e AS (SELECT v.*, CASE WHEN words = 0 THEN 0.0::DOUBLE WHEN f.free IS NULL OR octave > f.free.octave THEN 2.0::DOUBLE ELSE weight * f.free.level END AS copies
+      FROM v LEFT JOIN f ON v.source IS NOT DISTINCT FROM f.source),
+p AS (SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p, target - sum(floor(copies)::BIGINT * words) OVER (PARTITION BY source) AS need FROM e),
 r AS (SELECT d.doc_id, d.size, p.*, d.u, CASE WHEN p.p > 0 AND d.size > 0 THEN (d.u / (1 - d.u)) / (p.p / (1 - p.p)) END AS rank
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND p.octave = CASE WHEN d.size > 0 THEN length(bin(d.size)) - 1 ELSE -1 END),
 c AS (SELECT *, sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, u, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM r),
 i AS (SELECT *, rank IS NOT NULL AND run <= need AS inside FROM c),
 x AS (SELECT *, need - coalesce(max(CASE WHEN inside THEN run END) OVER (PARTITION BY source), 0) AS gap FROM i),
