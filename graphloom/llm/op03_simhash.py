@@ -208,9 +208,15 @@ def _forest(table_: pa.Table, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     if rule.parts > 1:
         words = table_.column("fps").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, rule.parts)[order]
         sizes = table_.column("n").to_numpy()[order]
-    root = trie_links(turned[order], 64 // rule.blocks, rule, words, sizes)
-    odd = node != node[root]
-    return node[odd], node[root[odd]]
+    return _stars(node, trie_links(turned[order], 64 // rule.blocks, rule, words, sizes))
+
+
+def _stars(node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each node with the smallest of its component. A group that meets in many tasks has the same links in all, so they count once."""
+    least = node.copy()
+    np.minimum.at(least, root, node)
+    odd = node != least[root]
+    return node[odd], least[root[odd]]
 
 
 def _chunked(rows: DataFrame, group_rows: int) -> DataFrame:
@@ -308,10 +314,9 @@ def checked_links(members: DataFrame, similarity: float, set_rows: int = SET_ROW
             a, b = [], []
             for s, e in zip(starts, [*starts[1:], len(node)], strict=True):
                 if e - s > 1:
-                    root = s + set_links([flat[(ends[k - 1] if k else 0) : ends[k]] for k in range(s, e)], similarity)
-                    odd = node[s:e] != node[root]
-                    a.append(node[s:e][odd])
-                    b.append(node[root[odd]])
+                    star = _stars(node[s:e], set_links([flat[(ends[k - 1] if k else 0) : ends[k]] for k in range(s, e)], similarity))
+                    a.append(star[0])
+                    b.append(star[1])
             none = np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x]), pa.int64()) for x in (a, b)], names=["a", "b"])
 
