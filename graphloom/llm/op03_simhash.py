@@ -324,27 +324,36 @@ def checked_links(members: DataFrame, similarity: float, set_rows: int = SET_ROW
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node reachable) of each node that has an edge.
+    """node, root (smallest node reachable) of each node that has an edge to another.
 
-    Rounds of hooking and shortcutting: every node takes the smallest label in its neighbourhood and
-    its label the smallest of that, then labels are followed once. Labels meet in a few rounds as
-    the groups' links are stars; each round's labels are written out, and the one before is deleted.
+    Rounds of contraction: every node goes to the smallest node in its neighbourhood, and on from there to the end, and
+    edges go with their ends; those whose ends meet are gone, so a round has fewer edges than the one before, and of a dense
+    group hardly any. Each step is written out, and what it was made of is deleted.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    now = Written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
-    while True:
-        seen = both.join(now.df.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("near"))
-        hooked = now.df.join(seen, "node").select("node", "root", F.least("root", "near").alias("new"))
-        # a root that a member found a smaller label for takes it, and so hands it to all its members
-        down = hooked.groupBy(F.col("root").alias("node")).agg(F.min("new").alias("down"))
-        hooked = hooked.join(down, "node", "left").select("node", F.col("root").alias("old"), F.least("new", F.coalesce("down", "new")).alias("new"))
-        jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        step = Written(hooked.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("further", "new")).alias("root")), "labels")
-        changed = step.df.where(F.col("old") != F.col("root")).limit(1).count()
-        now.drop()
-        now = step
-        if not changed:
-            return now.df.select("node", "root")
+
+    between = lambda df, a, b: df.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col("a") != F.col("b")).distinct()
+    now, labels = Written(between(edges, "a", "b"), "edges"), Written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), "labels")
+    while now.df.limit(1).count():
+        both = now.df.union(now.df.select("b", "a"))
+        to = Written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "hooked")
+        while True:  # all of a group ask for the same node: both sides are plain exchanges, which adaptive execution splits
+            on = to.df.select(F.col("node").alias("root"), F.col("root").alias("further"))
+            step = Written(to.df.join(on, "root").select("node", F.col("root").alias("old"), F.col("further").alias("root")), "hooked")
+            more = step.df.where(F.col("old") != F.col("root")).limit(1).count()
+            to.drop()
+            to = step
+            if not more:
+                break
+        on = to.df.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        moved = labels.df.join(on, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+        first = to.df.select("node", "root").join(labels.df.select("node"), "node", "left_anti")
+        step = Written(moved.union(first), "labels")
+        end = lambda side: to.df.select(F.col("node").alias(side), F.col("root").alias(f"{side}_to"))  # noqa: B023, E731
+        left = Written(between(now.df.join(end("a"), "a").join(end("b"), "b"), "a_to", "b_to"), "edges")
+        for old in (now, labels, to):
+            old.drop()
+        now, labels = left, step
+    return labels.df
 
 
 def classes(fps: DataFrame, found: DataFrame) -> DataFrame:
