@@ -90,7 +90,50 @@ def test_run(spark, sf, stages):
 
 @pytest.mark.parametrize("k", range(5))
 def test_stages_on_odd_tables(spark, sf, odd_docs, k):
+    """Nulls, empty and long texts, ties and repeated rows: which rows are left of each stage."""
     _, f = corpus_pipeline.STAGES[k]
     assert f(spark, odd_docs.limit(0), sf).count() == 0
     got = f(spark, odd_docs, sf)
-    assert got.columns[:5] == odd_docs.columns and got.count() >= 0
+    assert got.columns[:5] == odd_docs.columns
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    have = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    if k == 0:
+        model = op08_quality.fit(odd_docs, table(spark, sf, "labels"))
+        want = [r for r in rows if model.score(r[1]) >= 0.5]
+    elif k == 1:
+        want = [(i, t) for i, t, *_ in plain_lines(rows)]
+    elif k == 2:
+        blank, copies = {1: None}, {5: "same text here now and again"}
+        want = [*blank.items(), *copies.items(), *[r for r in rows if r[0] in (4, 7, 8)]]
+    elif k == 3:
+        assert {i for i, _ in have} <= {4, 5, 6, 7, 8, None} and all((t or "").split() for _, t in have)
+        assert all(have.count(r) <= 2 * rows.count(r) for r in have)
+        taken, sizes = {}, {}
+        for r in odd_docs.collect():
+            sizes[r.source] = sizes.get(r.source, 0) + len((r.text or "").split())
+        for r in got.collect():
+            taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+        for source, goal in plain_targets(sizes).items():
+            assert abs(taken.get(source, 0) - goal) <= 60_000 / 2
+        return
+    else:
+        check_packed(got.collect(), 16384)
+        want = rows
+    assert have == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_keep_columns_of_clashing_names(spark, sf, k):
+    """Columns that have the names of results and helpers come out as they went in."""
+    names = ["score", "predicted", "held_out", "n_lines", "n_dropped", "size", "source_size", "target", "taken", "__copy", "__times", "__k1", "__r1", "__drop", "__order", "component_id", "node", "p", "whole", "row"]
+    if k < 4:
+        names += ["bucket", "batch", "slot", "n_tokens"]
+    docs = table(spark, sf, "documents")
+    _, f = corpus_pipeline.STAGES[k]
+    own = lambda n: F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string"))
+    got = f(spark, docs.withColumns({n: own(n) for n in names}), sf)
+    assert got.columns[: len(docs.columns) + len(names)] == docs.columns + names
+    for n in names:
+        assert got.where(~F.col(n).eqNullSafe(own(n))).count() == 0
+    plain = f(spark, docs, sf)
+    assert texts(got) == texts(plain) and got.count() > 0

@@ -855,3 +855,36 @@ def test_similar_texts_at_the_similarity(docs_of, common):
     assert all(jaccard(a, b) == 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
     comp = {r.doc_id: r.component_id for r in op03_simhash.similar_texts(docs_of(*enumerate(texts))).collect()}
     assert [comp[2 * k + 1] for k in range(150)] == [2 * k for k in range(150)]
+
+
+def test_dense_groups_link_alike(monkeypatch):
+    """Node pairs that are one component already are left out: the components stay those of all pairs, and few pairs are compared."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    f = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 900, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 900, dtype=np.uint64)) for b in base]))
+    rule = op03_simhash.Rule(most=4)
+    near = lambda i: np.bitwise_count(f ^ f[i]) <= 4
+    want = np.arange(len(f))
+    for i in range(len(f)):
+        hit = np.unique(want[near(i)])
+        want[np.isin(want, hit)] = hit.min()
+    compared = []
+    plain = op03_simhash._Labels.link
+    monkeypatch.setattr(op03_simhash._Labels, "link", lambda self, p, q: (compared.append(len(p)), plain(self, p, q)))
+    got = op03_simhash.trie_links(f, 0, rule)
+    assert got.tolist() == want.tolist()
+    assert sum(compared) < len(f) ** 2 / 8
+
+
+def test_set_links_are_all_pairs_links():
+    """With dense groups, loose ones, empty sets and outliers, whichever sets are compared with all first."""
+    rng = random.Random(17)
+    sets = []
+    for size, n, drop in ((50, 40, 0.03), (80, 10, 0.12), (30, 1, 0), (0, 2, 0), (200, 25, 0.06)):
+        base = [rng.randrange(10**9) for _ in range(size)]
+        sets += [np.unique([x if rng.random() > drop else rng.randrange(10**9) for x in base]).astype(np.int64) for _ in range(n)]
+    rng.shuffle(sets)
+    alike = lambda a, b: len(a) + len(b) > 0 and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    want = plain_components(len(sets), lambda i, j: alike(sets[i], sets[j]))
+    for pivots in (0, 1, 16):
+        assert op03_simhash.set_links(sets, 0.8, pivots).tolist() == want
