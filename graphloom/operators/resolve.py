@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import entity_id
+from graphloom.shared import written
 
 #: Similarity from which two names of a type are one entity.
 THRESHOLD = 0.8
@@ -30,18 +31,19 @@ def entities(docs: DataFrame) -> DataFrame:
     )
 
 
-def relations(docs: DataFrame, found: DataFrame) -> DataFrame:
+def relations(docs: DataFrame) -> DataFrame:
     """doc_id, seq, id, source_id, target_id, types, strength, description of relations whose both ends are names of entities of the document.
 
     A name's first entity is the end. The id is of the two names, whatever the types. A strength that is no number is 0.5.
+    Ends are found within the row, among its own entities: a document's graph is one reply, so its lists are short, and nothing is shuffled.
     """
-    first = found.groupBy("doc_id", "name").agg(F.min_by("id", "seq").alias("id"))
-    each = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode("graph.relationships").alias("seq", "r"))
-    end = lambda side: first.select("doc_id", F.col("name").alias(f"{side}_name"), F.col("id").alias(f"{side}_id"))
-    rows = each.select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("r.source_name").alias("source_name"), F.col("r.target_name").alias("target_name"), F.col("r.types").alias("types"), F.col("r.strength").alias("strength"), F.col("r.description").alias("description"))
-    rows = rows.join(end("source"), ["doc_id", "source_name"]).join(end("target"), ["doc_id", "target_name"])
-    made = entity_id(F.concat("source_name", F.lit("_"), "target_name"), F.lit("RELATIONSHIP"))
-    return rows.select("doc_id", "seq", made.alias("id"), "source_id", "target_id", F.coalesce("types", F.array().cast("array<string>")).alias("types"), F.coalesce("strength", F.lit(0.5)).alias("strength"), F.coalesce("description", F.lit("")).alias("description"))
+    entity = lambda e: F.struct(F.coalesce(e["name"], F.lit("")).alias("name"), entity_id(F.coalesce(e["name"], F.lit("")), F.coalesce(e["type"], F.lit("UNKNOWN"))).alias("id"))
+    held = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.transform("graph.entities", entity).alias("es"), F.col("graph.relationships").alias("rs")).where(F.size("es") > 0)
+    each = held.select("doc_id", F.col("es.name").alias("names"), F.col("es.id").alias("ids"), F.posexplode("rs").alias("seq", "r"))
+    end = lambda side: F.get("ids", F.array_position("names", F.col(f"r.{side}_name")).cast("int") - 1).alias(f"{side}_id")  # noqa: E731  the first of a name; none is place -1, which is null
+    made = entity_id(F.concat("r.source_name", F.lit("_"), "r.target_name"), F.lit("RELATIONSHIP"))
+    rows = each.select("doc_id", F.col("seq").cast("long").alias("seq"), made.alias("id"), end("source"), end("target"), F.coalesce("r.types", F.array().cast("array<string>")).alias("types"), F.coalesce("r.strength", F.lit(0.5)).alias("strength"), F.coalesce("r.description", F.lit("")).alias("description"))
+    return rows.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
 
 
 def merge_relations(rows: DataFrame, scope: list[str] = ["doc_id"], keep_both: bool = False) -> DataFrame:  # noqa: B006
@@ -129,8 +131,9 @@ def remap_ends(rows: DataFrame, led: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, threshold: float = THRESHOLD, scope: str = "document", faithful: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of documents with graphs. faithful: relations keep ends that merging took away."""
+    """(entities, relations) of documents with graphs, which are made once. faithful: relations keep ends that merging took away."""
+    docs = written(docs.select("doc_id", "graph"), "graphs")
     found = entities(docs)
     led = assign_leaders(found, threshold, scope)
-    rows = relations(docs, found)
+    rows = relations(docs)
     return merge_entities(led), merge_relations(rows if faithful else remap_ends(rows, led), keep_both=not faithful)

@@ -131,7 +131,7 @@ def test_relation_fold(spark):
     e = [entity("A"), entity("B"), entity("A", "U")]
     g = {"entities": e, "relationships": [relation("A", "B", ["x"], 0.2, "one"), relation("A", "B", ["x", "y"], 0.9, ""), relation("A", "B", ["z"], 0.1, "three"), relation("A", "none", ["x"])]}
     d = docs(spark, g)
-    rows = resolve.relations(d, resolve.entities(d))
+    rows = resolve.relations(d)
     assert rows.count() == 3
     last = resolve.merge_relations(rows).collect()
     assert [(r.types, r.strength, r.description, r.n_rows) for r in last] == [(["z"], 0.1, "three", 3)]
