@@ -87,6 +87,10 @@ class PropertyGraph:
         ends = F.array(F.struct(F.col("src").alias("here"), F.col("dst").alias("there"), F.lit(False).alias("is_incoming")), F.struct(F.col("dst").alias("here"), F.col("src").alias("there"), F.lit(True).alias("is_incoming")))
         return self.edges.select(F.col("id").alias("edge_id"), "type", F.explode(ends).alias("e")).select("edge_id", "e.here", "e.there", "type", "e.is_incoming")
 
+    def touching(self, *types: str) -> PropertyGraph:
+        """The graph with the edges, at least, that nodes of these types may have: kinds that are known to have none of them need not be made."""
+        return self
+
     def neighbors(self, ids: DataFrame) -> DataFrame:
         """id, neighbor: distinct, either direction, without the node itself; for frames of id."""
         return ids.select("id").join(self.both_ways(), F.col("id") == F.col("here")).where(F.col("there") != F.col("id")).select("id", F.col("there").alias("neighbor")).distinct()
@@ -100,11 +104,23 @@ class PropertyGraph:
         kept = F.map_filter("props", lambda k, _: ~k.isin(*without))
         return df.join(self.nodes.select(F.col("id").alias(id_col), "name", "type", kept.alias("props")), id_col, "left")
 
+    def sample(self, n: int = 10, start: str | None = None) -> DataFrame:
+        """src_name, type, dst_name of n edges, the first by id; start: of those whose source's name begins so. A look at what a graph holds."""
+        name = lambda side: self.nodes.select(F.col("id").alias(side), F.col("name").alias(f"{side}_name"))
+        sources = name("src") if start is None else name("src").where(F.col("src_name").startswith(start))
+        some = self.edges.join(sources, "src").orderBy("id").limit(n)
+        return some.join(name("dst"), "dst", "left").select(F.col("id").alias("edge_id"), "src_name", "type", "dst_name")
+
     # changes
 
-    def add_nodes(self, more: DataFrame, upsert: bool = True) -> PropertyGraph:
-        """With upsert, rows of the same id become one: the last name, type and value of each key stay (more after the present ones); without, all rows stay."""
-        nodes = self.nodes.withColumn("__at", F.lit(0).cast("long")).unionByName(more.withColumn("__at", F.monotonically_increasing_id() + 1))
+    def add_nodes(self, more: DataFrame, upsert: bool = True, order: str | None = None) -> PropertyGraph:
+        """With upsert, rows of the same id become one: the last name, type and value of each key stay (more after the present ones); without, all rows stay.
+
+        order: a column of more (a number, not below 0) that says which of its rows are later; without it that is the order in which
+        they are read, which is the files' own only within a file.
+        """
+        at = F.monotonically_increasing_id() if order is None else F.col(order).cast("long")
+        nodes = self.nodes.withColumn("__at", F.lit(0).cast("long")).unionByName(more.withColumn("__at", at + 1).select(*self.nodes.columns, "__at"))
         if not upsert:
             return PropertyGraph(nodes.drop("__at"), self.edges)
         return PropertyGraph(upsert_nodes(nodes, "__at"), self.edges)

@@ -74,7 +74,7 @@ class TableGraph(PropertyGraph):
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, node_kinds=tuple(NODES), edge_kinds=tuple(EDGES)):
-        self.spark, self.adjacency, self._kinds = spark, None, (node_kinds, edge_kinds)
+        self.spark, self.adjacency, self._kinds, self._dir = spark, None, (node_kinds, edge_kinds), sf_dir
         self._read = cache(lambda name: table(spark, sf_dir, name))
 
     @cached_property
@@ -85,6 +85,11 @@ class TableGraph(PropertyGraph):
     def edges(self) -> DataFrame:
         return _union([_edge_part(self._read, kind) for kind in self._kinds[1]])
 
+    def touching(self, *types: str) -> PropertyGraph:
+        """Only kinds of edges with an end of one of the types: tables that none of these needs are not read."""
+        kinds = tuple(k for k in self._kinds[1] if {EDGES[k][1], EDGES[k][3]} & set(types))
+        return TableGraph(self.spark, self._dir, self._kinds[0], kinds) if kinds else PropertyGraph(self.nodes, self.edges.limit(0))
+
     def by_ids(self, ids: Iterable[str]) -> DataFrame:
         keys = keys_of(ids)
         parts = [_node_part(self._read, kind, keys[kind]) for kind in self._kinds[0] if kind in keys]

@@ -124,3 +124,39 @@ def test_indexed_graph_is_the_same(spark, small):
     seeds = small.by_ids(["c"]).select("id", "name")
     one, two = (explore(x, seeds, "B", ExploreConfig(max_iterations=2)).collect() for x in (small, g))
     assert one == two and len(one) > 1
+
+
+def test_later_rows_by_a_column(spark):
+    """add_nodes(order=...): which rows are later does not hang on how they are dealt out."""
+    g = PropertyGraph(spark.createDataFrame([("a", "x", "t", ["t"], {"k": "0"})], schema.NODE), spark.createDataFrame([], schema.EDGE))
+    more = spark.createDataFrame([("a", "second", "t", ["t"], {"k": "2"}, 2), ("a", "first", "t", ["t"], {"k": "1"}, 1)], "id string, name string, type string, labels array<string>, props map<string,string>, at int").repartition(2)
+    got = g.add_nodes(more, order="at").nodes.first()
+    assert (got.name, got.props) == ("second", {"k": "2"})
+
+
+def test_touching_leaves_out_kinds_of_edges(spark, sf):
+    """Steps from some types are the same without the kinds of edges that these never have, whose tables are not read."""
+    from graphloom.sources.tables import project
+
+    g = project(spark, sf)
+    ids = g.nodes.where("type IN ('nation', 'customer')").select("id")
+    few = g.touching("nation", "customer").neighbors(ids)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, g.neighbors(ids).collect()))
+    assert "lineitem" not in few._jdf.queryExecution().toString() and "lineitem" in g.neighbors(ids)._jdf.queryExecution().toString()
+    assert g.touching("none").edges.count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_containment_is_that_of_all_pairs(spark, seed):
+    """By the rarest run of three characters, and short mentions from all names."""
+    import random
+
+    from graphloom.operators import link
+
+    rng = random.Random(seed)
+    names = ["".join(rng.choice("abAB #é") for _ in range(rng.randrange(9))) for _ in range(80)]
+    asked = ["", "a", "ab", *{n[1:5] for n in names[:20]}, "zzz", "abab"]
+    n = spark.createDataFrame([(str(k), x, "t", ["t"], {}) for k, x in enumerate(names)], schema.NODE)
+    got = link.containing(spark.createDataFrame([(m,) for m in asked], "mention string"), n, 1000)
+    want = {(m, str(k)) for m in asked for k, x in enumerate(names) if m.lower() in x.lower()}
+    assert {(r.mention, r.id) for r in got.collect()} == want
