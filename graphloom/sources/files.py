@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.graph import PropertyGraph
-from graphloom.sources import ntriples
+from graphloom.sources import ntriples, turtle
 
 #: Extensions of graph files, in the order in which a name without one is tried.
 EXTENSIONS = (".nt", ".ttl", ".rdf", ".n3", ".jsonld")
@@ -89,7 +89,7 @@ class Prompts:
 
 
 class GraphFiles:
-    """Graphs of a folder, by file name with or without extension. N-Triples can be read; other syntaxes are known but not."""
+    """Graphs of a folder, by file name with or without extension. N-Triples and plain Turtle can be read; other syntaxes are known but not."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -109,9 +109,10 @@ class GraphFiles:
         found = name if name in held else next((f"{name}{e}" for e in EXTENSIONS if f"{name}{e}" in held), None)
         if found is None:
             raise FileNotFoundError(f"no graph {name} in {self.folder}")
-        if not found.endswith(".nt"):
-            raise ValueError(f"{found}: only N-Triples can be read; convert it first")
-        return ntriples.load(self.spark, f"{self.folder}/{found}")
+        reader = {".nt": ntriples, ".ttl": turtle}.get(found[found.rfind(".") :])
+        if reader is None:
+            raise ValueError(f"{found}: only N-Triples and Turtle can be read; convert it first")
+        return reader.load(self.spark, f"{self.folder}/{found}")
 
 
 def append_log(spark: SparkSession, path: str, level: str, name: str, message: str) -> None:

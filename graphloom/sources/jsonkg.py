@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom import schema
@@ -10,17 +10,22 @@ from graphloom.graph import PropertyGraph, upsert_nodes
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """entities and relationships (arrays of objects as maps of text) of each file at path; missing lists are null."""
+    """entities and relationships (arrays of objects as maps of text) of each file at path, and the file's path; missing lists are null."""
     shape = "entities array<map<string,string>>, relationships array<map<string,string>>"
-    return spark.read.schema(shape).option("multiLine", True).json(path)
+    return spark.read.schema(shape).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("file"))
 
 
 def load(files: DataFrame) -> PropertyGraph:
     """The graph of read(): entities by name (one that repeats adds to the first, later values win), then relationships, which stay apart.
 
     name is required of an entity, source and target of a relationship; ends that no entity has become nodes with a name only.
+    Files are in the order of their paths (column file); frames without that column in the order in which they are read.
     """
-    rows = files.withColumn("__file", F.monotonically_increasing_id())
+    if "file" in files.columns:
+        numbers = files.select("file").distinct().select("file", (F.row_number().over(Window.orderBy("file")) - 1).alias("__file"))  # a row for each file
+        rows = files.join(numbers, "file")
+    else:
+        rows = files.withColumn("__file", F.monotonically_increasing_id())
     e = rows.select("__file", F.posexplode("entities").alias("i", "e"))
     name = F.when(F.col("e")["name"].isNull(), F.raise_error(F.lit("an entity has no name"))).otherwise(F.col("e")["name"])
     kind = F.col("e")["type"]

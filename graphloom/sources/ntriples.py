@@ -1,7 +1,7 @@
 """N-Triples: reading lines, building a graph from triples, and writing graphs.
 
-Line numbers order first-wins and last-wins rules. They are file offsets made by the reader, so parts are
-read in parallel and only their order is used.
+Line numbers order first-wins and last-wins rules. They go by the files' paths and the places in them: parts are read in
+parallel, each line counts within its part, and the parts' sizes give what comes before.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ ENTITY, PROPERTY = "http://example.org/entity/", "http://example.org/property/"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, value of text files."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    """line, value of text files: lines are numbered from 0 in the order of the files' paths and their own, however the files are cut and dealt out."""
+    part = ["__file", "__start"]
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
+    sizes = rows.groupBy(*part).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))  # a row for each part of a file
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select(*part, "__first", before.alias("__before")), part).select((F.col("__before") + F.col("__at") - F.col("__first")).alias("line"), "value")
 
 
 def parse(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from graphloom.graph import PropertyGraph
-from graphloom.sources import files, html, jsonkg, ntriples
+from graphloom.sources import files, html, jsonkg, ntriples, turtle
 from graphloom.streaming import triples
 
 
@@ -38,14 +38,49 @@ def test_literals_round_trip(spark, tmp_path):
 
 def test_files_by_name(spark, tmp_path):
     (tmp_path / "g.nt").write_text("<a> <p> <b> .\n<b> <p> <a> .\n")
-    (tmp_path / "h.ttl").write_text("")
+    (tmp_path / "h.ttl").write_text("@prefix e: <http://e/> . e:a e:p e:b . e:b e:p e:a .")
+    (tmp_path / "i.rdf").write_text("")
     f = files.GraphFiles(spark, str(tmp_path))
-    assert f.names() == ["g", "h"]
-    assert f.get("g").edges.count() == 2
+    assert f.names() == ["g", "h", "i"]
+    assert f.get("g").edges.count() == f.get("h").edges.count() == 2
     with pytest.raises(FileNotFoundError):
         f.get("none")
     with pytest.raises(ValueError, match="N-Triples"):
-        f.get("h")
+        f.get("i")
+
+
+TURTLE = """@prefix ex: <http://ex/> .  # a comment
+PREFIX x-2: <http://x2/>
+@base <http://base/> .
+ex:a a ex:Person ; ex:name "Ada \\"L\\" \\u00e9"@en-GB, 'A' ;
+  ex:born 1815 ; ex:score -1.5e3 ; ex:ok true ; ex:note \"\"\"two
+lines; "quoted" . \"\"\" ;
+.
+<rel> x-2:knows ex:a.b , _:n1 .
+_:n1 <http://ex/at> "2020"^^<http://www.w3.org/2001/XMLSchema#gYear> .
+"""
+
+
+def test_turtle_statements():
+    got = list(turtle.statements(TURTLE))
+    ex, x2 = "http://ex/", "http://x2/"
+    assert got == [
+        (ex + "a", turtle.TYPE, ex + "Person", True), (ex + "a", ex + "name", 'Ada "L" é', False), (ex + "a", ex + "name", "A", False), (ex + "a", ex + "born", "1815", False), (ex + "a", ex + "score", "-1.5e3", False),
+        (ex + "a", ex + "ok", "true", False), (ex + "a", ex + "note", 'two\nlines; "quoted" . ', False), ("http://base/rel", x2 + "knows", ex + "a.b", True), ("http://base/rel", x2 + "knows", "_:n1", True), ("_:n1", ex + "at", "2020", False),
+    ]
+    assert list(turtle.statements(" # nothing\n")) == []
+    for bad, where in (("<a> <b> [ <c> <d> ] .", "line 1"), ("<a>\n<b> ( 1 2 ) .", "line 2"), ("\n\ne:a <b> <c> .", "line 3.*prefix"), ("<a> <b> <c>", "full stop"), ('"x" <b> <c> .', "subject")):
+        with pytest.raises(ValueError, match=where):
+            list(turtle.statements(bad))
+
+
+def test_turtle_files_are_in_the_order_of_their_paths(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text('<http://e/x> <http://e/k> "first" ; <http://e/name> "A" .')
+    (tmp_path / "b.ttl").write_text("".join(f'<http://e/y{k}> <http://e/k> "{k}" .\n' for k in range(300)) + '<http://e/x> <http://e/k> "last" ; <http://e/to> <http://e/y7> .')
+    g = turtle.load(spark, str(tmp_path))
+    got = {r.id: r for r in g.nodes.collect()}
+    assert got["http://e/x"].name == "A" and got["http://e/x"].props["k"] == "last" and len(got) == 301
+    assert [(r.id, r.dst) for r in g.edges.collect()] == [("e0", "http://e/y7")]
 
 
 def test_json_graph(spark, tmp_path):
@@ -71,7 +106,32 @@ def test_page(spark, tmp_path):
     (tmp_path / "g.nt").write_text('<a> <p> <b> .\n<b> <name> "</script>" .\n')
     g = ntriples.load(spark, str(tmp_path / "g.nt"))
     text = open(html.write_page(g, str(tmp_path / "g.html"))).read()
-    assert "<\\/script>" in text and "Unknown" in text
+    assert "<\\/script>" in text and "Unknown" in text and "2 of 2 nodes, 1 of 1 edges" in text and "type: Unknown" in text
+    assert "1 of 2 nodes, 0 of 1 edges" in html.page(html.palette_nodes(g), html.palette_edges(g), most=1)
+
+
+def test_lines_are_in_the_order_of_files_and_places(spark, tmp_path):
+    """Whatever the files' sizes, which decide how the reader deals them out: the last value of the last file wins."""
+    (tmp_path / "a.nt").write_text('<e/x> <p/k> "first" .\n<e/x> <p/name> "A" .\n')
+    (tmp_path / "b.nt").write_text("".join(f'<e/y{k}> <p/k> "{k}" .\n' for k in range(3000)) + '<e/x> <p/k> "last" .\n<e/x> <p/name> "B" .\n')
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for most in (held, "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            got = {r.id: r for r in ntriples.load(spark, str(tmp_path)).nodes.collect()}
+            lines = ntriples.lines(spark, str(tmp_path)).orderBy("line").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+        assert got["e/x"].props == {"k": "last"} and got["e/x"].name == "A"
+        assert [r.line for r in lines] == list(range(3004)) and lines[2].value.startswith("<e/y0>") and lines[1500].value.startswith("<e/y1498>")
+
+
+def test_json_files_are_in_the_order_of_their_paths(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"entities": [{"name": "A", "v": "1"}], "relationships": []}))
+    (tmp_path / "b.json").write_text(json.dumps({"entities": [{"name": "A", "v": "2"}, *({"name": f"N{k}"} for k in range(500))], "relationships": [{"source": "A", "target": "N1"}]}))
+    g = jsonkg.load(jsonkg.read(spark, str(tmp_path)))
+    assert g.nodes.where("id = 'A'").first().props == {"v": "2"}
+    assert [r.id for r in g.edges.collect()] == ["r1-0"]
 
 
 def test_settings(tmp_path):
