@@ -87,3 +87,13 @@ def looked_up(key: Column, colors: dict[str, str], default: str) -> Column:
         return F.lit(default)
     table = F.create_map(*[F.lit(x) for kv in colors.items() for x in kv])
     return F.coalesce(table[F.coalesce(key, F.lit(""))], F.lit(default))
+
+
+def percent_text(share: Column) -> Column:
+    """A share as a percentage with a decimal: 0.815 is 81.5%."""
+    return F.format_string("%.1f%%", share.cast("double") * 100)
+
+
+def score_text(score: Column) -> Column:
+    """A score with three decimals."""
+    return F.format_string("%.3f", score.cast("double"))

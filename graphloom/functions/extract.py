@@ -24,14 +24,19 @@ def mentions(texts: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_co
     return each.join(names.where(F.col("run") != ""), "run").select(id_col, "mention").distinct()
 
 
+#: A capitalised word in any script: a capital and letters, with apostrophes and hyphens inside.
+_NAME = r"\p{Lu}\p{M}*(?:['’-]?\p{L}\p{M}*)+"
+_NAMES = rf"(?<![\p{{L}}\p{{M}}'’-])({_NAME}(?: {_NAME})*)"
+
+
 def capitalised(text: Column) -> Column:
-    """Runs of capitalised ASCII words, distinct and in order of first place: names by form."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Z][a-z]+(?: [A-Z][a-z]+)*)"), 1))
+    """Runs of capitalised words, distinct and in order of first place: names by form, in any script with capitals."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_NAMES), 1))
 
 
-def subject_verb_object(text: Column, verbs: list[str]) -> Column:
-    """source, relation, target of "Subject verb Object" with capitalised ends and a verb of the list."""
-    any_verb = "|".join(verbs)
-    pattern = rf"([A-Z][a-z]+(?: [A-Z][a-z]+)*) ({any_verb}) ([A-Z][a-z]+(?: [A-Z][a-z]+)*)"
+def subject_verb_object(text: Column, verbs: list[str] | None = None) -> Column:
+    """source, relation, target of "Subject verb Object" with capitalised ends and a verb of the list; without a list any one word in small letters counts as the verb."""
+    any_verb = "|".join(verbs) if verbs else r"\p{Ll}[\p{L}\p{M}]*"
+    pattern = rf"{_NAMES} ({any_verb}) (?={_NAMES})"
     at = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
     return F.transform(F.arrays_zip(at(1).alias("a"), at(2).alias("b"), at(3).alias("c")), lambda x: F.struct(x["a"].alias("source"), x["b"].alias("relation"), x["c"].alias("target")))

@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import as_share
 
 
+class Timings:
+    """Seconds of the steps of a run, in order: with timings.step("linking"): ..."""
+
+    def __init__(self) -> None:
+        self.steps: list[tuple[str, float]] = []
+
+    @contextmanager
+    def step(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.steps.append((name, time.perf_counter() - began))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """n, step, seconds, and the whole run as the last row."""
+        rows = [*self.steps, ("total", sum(s for _, s in self.steps))]
+        return spark.createDataFrame([(n, *r) for n, r in enumerate(rows, 1)], "n int, step string, seconds double")
+
+
 def unique_entities(paths: DataFrame) -> DataFrame:
     """name: the distinct subjects and objects of all triples."""
     each = paths.select(F.explode("triples").alias("t")).select(F.explode(F.array("t.subject", "t.object")).alias("name"))

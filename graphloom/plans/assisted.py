@@ -17,8 +17,14 @@ from graphloom.schema import GRAPH_V1, GRAPH_V2
 Make = Callable[[], models.ChatModel]
 
 
-def question_entities(questions: DataFrame, make: Make, on_error: str = "raise") -> DataFrame:
-    """question, mention: the entities that a model finds in each question (column question); questions without one give no row."""
+def make_by_name(model: str | None, client: dict | None = None, default: str = "gpt-4o") -> Make:
+    """What makes a hosted model by its name, at the service that the name speaks of: the default where a caller has a name and no extractor."""
+    return lambda: models.hosted(model or default, client=client)
+
+
+def question_entities(questions: DataFrame, make: Make | str, on_error: str = "raise") -> DataFrame:
+    """question, mention: the entities that a model (make, or a hosted one's name) finds in each question (column question); questions without one give no row."""
+    make = make_by_name(make) if isinstance(make, str) else make
     asked = questions.select("question", prompting.entities_of(F.col("question")).alias("prompt"))
     replies = models.distributed(asked, make, on_error=on_error, temperature=models.TEMPERATURES["extract_entities"])
     return replies.select("question", F.explode(parse.entity_list(F.col("reply"))).alias("mention"))
@@ -78,6 +84,4 @@ def graphs(docs: DataFrame, make: Make, attributes: bool = True, on_error: str =
 
 def knowledge_graph(docs: DataFrame, make: Make, threshold: float = resolve.THRESHOLD, scope: str = "document") -> tuple[DataFrame, DataFrame]:
     """(entities, relations) of documents: extracted by a model, resolved and merged."""
-    from graphloom.shared import written
-
-    return resolve.build(written(graphs(docs, make), "graphs"), threshold, scope)
+    return resolve.build(graphs(docs, make), threshold, scope)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.columns import combined_score, name_similarity
 from graphloom.graph import PropertyGraph
 from graphloom.operators.expand import DISCOVERY, candidates
+from graphloom.operators.metrics import Timings
 from graphloom.operators.prune import bounded, first_n, top_n
 from graphloom.shared import written
 
@@ -82,24 +83,30 @@ def entity_step(graph: PropertyGraph, related: DataFrame, question: str, config:
     )
 
 
-def explore(graph: PropertyGraph, seeds: DataFrame, question: str, config: ExploreConfig = ExploreConfig(), judge: Callable[[list[str]], bool] | None = None) -> DataFrame:  # noqa: B008
+def explore(graph: PropertyGraph, seeds: DataFrame, question: str, config: ExploreConfig = ExploreConfig(), judge: Callable[[list[str]], bool] | None = None, timings: Timings | None = None) -> DataFrame:  # noqa: B008
     """The best paths (schema.PATH): at most max_paths, best first by confidence, then arrival.
 
     After each hop judge, if given, sees the kept paths as text and may say that they suffice. Without a step
     from any seed there are no paths.
     """
-    frontier = written(initial_paths(seeds), "seeds")
+    step = (timings or Timings()).step
+    with step("seeds"):
+        frontier = written(initial_paths(seeds), "seeds")
     kept: DataFrame | None = None
     for hop in range(1, config.max_iterations + 1):
-        new = entity_step(graph, relation_step(graph, frontier, question, config), question, config)
-        columns = [c for c in new.columns if c not in ("rel_rank", "parent")]
-        came = _numbered(new, hop).select(*columns)
-        best = written(came if config.faithful else bounded(came, config.max_paths), "beam")
-        everything = best if kept is None else kept.unionByName(best)
-        kept = written(bounded(everything, config.max_paths, faithful=config.faithful), "kept")
-        if not best.limit(1).count():
+        with step(f"hop {hop}"):
+            new = entity_step(graph, relation_step(graph, frontier, question, config), question, config)
+            columns = [c for c in new.columns if c not in ("rel_rank", "parent")]
+            came = _numbered(new, hop).select(*columns)
+            best = written(came if config.faithful else bounded(came, config.max_paths), "beam")
+            everything = best if kept is None else kept.unionByName(best)
+            kept = written(bounded(everything, config.max_paths, faithful=config.faithful), "kept")
+            ended = not best.limit(1).count()
+        if ended:
             break
-        if judge and judge([r.text for r in render(kept).collect()]):  # max_paths rows
+        with step(f"judge {hop}"):
+            enough = bool(judge) and judge([r.text for r in render(kept).collect()])  # max_paths rows
+        if enough:
             break
         frontier = F.broadcast(kept if config.faithful else best)  # max_paths rows
     return kept.orderBy(F.desc("confidence"), "seq", "path_id")
@@ -127,13 +134,16 @@ def template_answer(question: str, texts: list[str]) -> str:
     return f"{question}\n" + "\n".join(f"{i}. {t}" for i, t in enumerate(texts, 1)) if texts else "No path was found."
 
 
-def answer(graph: PropertyGraph, mentions: DataFrame, question: str, config: ExploreConfig = ExploreConfig(), judge=None, answerer: Callable[[str, list[str]], str] = template_answer) -> DataFrame:  # noqa: B008
-    """success, answer, paths (array) in one row, from mentions (mention) of a question; linking goes by exact name, then fuzzy."""
+def answer(graph: PropertyGraph, mentions: DataFrame, question: str, config: ExploreConfig = ExploreConfig(), judge=None, answerer: Callable[[str, list[str]], str] = template_answer, timings: Timings | None = None) -> DataFrame:  # noqa: B008
+    """success, answer, paths (array) in one row, from mentions (mention) of a question; linking goes by exact name, then fuzzy. timings gets the seconds of each step."""
     from graphloom.operators.link import with_fallback
 
-    seeds = with_fallback(mentions, graph.nodes).select("id", "name").distinct()
-    paths = explore(graph, seeds, question, config, judge)
+    timings = timings or Timings()
+    with timings.step("linking"):
+        seeds = written(with_fallback(mentions, graph.nodes).select("id", "name").distinct(), "linked")
+    paths = explore(graph, seeds, question, config, judge, timings)
     rows = render(paths).collect()  # max_paths rows
     spark = graph.spark
-    text = answerer(question, [r.text for r in rows])
+    with timings.step("answer"):
+        text = answerer(question, [r.text for r in rows])
     return spark.createDataFrame([(bool(rows), text, [r.text for r in rows])], "success boolean, answer string, paths array<string>")
