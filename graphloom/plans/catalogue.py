@@ -5,16 +5,17 @@ Queries have no row limits but those that are the operator (top-k). Ids of nodes
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions import extract, parse, similarity
-from graphloom.functions.columns import as_share, clock, combined_score, entity_id, first_confidence, local_name, name_similarity, timestamp_text, uri_name
+from graphloom.functions import extract, models, parse, similarity
+from graphloom.functions.columns import as_share, clock, combined_score, entity_id, first_confidence, local_name, name_similarity, percent_text, score_text, timestamp_text, uri_name
 from graphloom.graph import PropertyGraph
 from graphloom.operators import expand, link, metrics, prune, resolve
-from graphloom.plans import explore
+from graphloom.plans import assisted, explore
 from graphloom.shared import written
 from graphloom.sources import html, jsonkg, ntriples
 from graphloom.sources.tables import project, table
@@ -113,17 +114,29 @@ def edges_both(spark, d):
     return e.select("id", F.when(F.col("is_incoming"), F.col("dst")).otherwise(F.col("src")).alias("here"), F.when(F.col("is_incoming"), F.col("src")).otherwise(F.col("dst")).alias("there"), "type", "is_incoming")
 
 
-@query(GRAPH + "SELECT DISTINCT here AS id, there AS neighbor FROM both_ways WHERE there <> here AND (here LIKE 'nation:%' OR here LIKE 'customer:%')")
+@query(GRAPH + "SELECT DISTINCT here AS id, there AS neighbor FROM both_ways WHERE there <> here")
 def neighbors_distinct(spark, d):
     g = project(spark, d)
+    return g.neighbors(g.nodes.select("id"))
+
+
+@query(GRAPH + "SELECT DISTINCT here AS id, there AS neighbor FROM both_ways WHERE there <> here AND (here LIKE 'nation:%' OR here LIKE 'customer:%')")
+def neighbors_of_types(spark, d):
+    """From nodes of two types: kinds of edges that these never have are not made."""
+    g = project(spark, d).touching("nation", "customer")
     return g.neighbors(g.nodes.where(F.col("type").isin("nation", "customer")).select("id"))
 
 
-@query(GRAPH + "SELECT id, src, dst FROM edges e WHERE EXISTS (SELECT 1 FROM edges k WHERE k.src = e.dst)")
+@query(GRAPH + "SELECT id, src, dst FROM edges WHERE dst IN (SELECT src FROM edges)")
 def edges_to_known_subjects(spark, d):
     return project(spark, d).known_subject_edges().select("id", "src", "dst")
 
 
+@query(GRAPH + ", s AS (SELECT e.id AS edge_id, n.name AS src_name, e.type, dst FROM edges e JOIN nodes n ON n.id = src AND n.name LIKE 'Customer#%' ORDER BY e.id LIMIT 10) SELECT edge_id, src_name, s.type, n.name AS dst_name FROM s LEFT JOIN nodes n ON n.id = dst")
+def sample_edges(spark, d):
+    return project(spark, d).touching("customer").sample(10, "Customer#")
+
+
 @query("SELECT 'LIVES_IN|customer:' || c_custkey || '|nation:' || c_nationkey AS edge_id, c_name AS name, 'customer' AS type, c_mktsegment AS segment, 1 AS n_props FROM customer")
 def metadata_enrich(spark, d):
     g = project(spark, d)
@@ -136,7 +149,7 @@ def metadata_enrich(spark, d):
 
 @query(GRAPH + "SELECT here AS last_id, edge_id, type, there, is_incoming, row_number() OVER (PARTITION BY here ORDER BY is_incoming, edge_id)::INTEGER AS idx FROM both_ways WHERE here LIKE 'supplier:%'")
 def expand_candidates(spark, d):
-    g = project(spark, d)
+    g = project(spark, d).touching("supplier")
     frontier = g.nodes.where(F.col("type") == "supplier").select(F.col("id").alias("last_id"))
     return expand.candidates(g, frontier).select("last_id", "edge_id", "type", "there", "is_incoming", "idx")
 
@@ -150,7 +163,7 @@ FROM f JOIN both_ways ON last_id = here WHERE there <> last_id AND there <> seen
 def expand_excluding_visited(spark, d):
     frontier = table(spark, d, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("last_id"), F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("seen"))
     frontier = frontier.select("last_id", F.array("last_id", "seen").alias("visited"))
-    return expand.candidates(project(spark, d), frontier, F.col("visited")).select("last_id", "edge_id", "there", "is_incoming", "idx")
+    return expand.candidates(project(spark, d).touching("customer"), frontier, F.col("visited")).select("last_id", "edge_id", "there", "is_incoming", "idx")
 
 
 _BY_IDS = ["IN_REGION|nation:3|region:3", "IN_REGION|nation:0|region:0", "LIVES_IN|customer:0|nation:2", "none"]
@@ -158,7 +171,7 @@ _BY_IDS_SQL = GRAPH + ", f AS (SELECT id AS last_id FROM nodes WHERE type IN ('n
 
 
 def _by_ids(spark, d, faithful):
-    g = project(spark, d)
+    g = project(spark, d).touching("nation", "region")
     frontier = g.nodes.where(F.col("type").isin("nation", "region")).select(F.col("id").alias("last_id"))
     return expand.by_relation_ids(g, frontier, _BY_IDS, faithful=faithful)
 
@@ -273,7 +286,7 @@ s AS (SELECT 'nation:' || n_nationkey AS last_id, unnest([1, 3, 99]) AS idx, unn
 SELECT c.last_id, edge_id, c.idx, coalesce(score, 0.0)::DOUBLE AS score FROM c LEFT JOIN s ON c.last_id = s.last_id AND c.idx = s.idx"""
 )
 def score_by_index(spark, d):
-    g = project(spark, d)
+    g = project(spark, d).touching("nation")
     nations = g.nodes.where(F.col("type") == "nation").select(F.col("id").alias("last_id"))
     found = expand.candidates(g, nations).select("last_id", "edge_id", "idx")
     replies = nations.select("last_id", parse.scores(F.lit('Here: {"1": 0.5, "3": 0.25, "99": 1.0, "x": 2} done')).alias("scores"))
@@ -292,7 +305,7 @@ s AS (SELECT c.*, {_SIM.format(a="c.type", b="'who lives in'")} AS rel, {_SIM.fo
 
 
 def _customer_candidates(spark, d):
-    g = project(spark, d)
+    g = project(spark, d).touching("customer")
     found = expand.candidates(g, g.nodes.where(F.col("type") == "customer").select(F.col("id").alias("last_id")), numbered=False)
     return found.join(g.nodes.select(F.col("id").alias("there"), "name"), "there")
 
@@ -343,7 +356,7 @@ def topn_faithful(spark, d):
     + ", c AS (SELECT here AS last_id, type, there, row_number() OVER (PARTITION BY here ORDER BY is_incoming, edge_id) AS idx FROM both_ways WHERE here LIKE 'customer:%') SELECT last_id, string_agg(idx || '. ' || type || ' ' || there, chr(10) ORDER BY idx) AS text FROM c GROUP BY last_id"
 )
 def prompt_lines(spark, d):
-    g = project(spark, d)
+    g = project(spark, d).touching("customer")
     found = expand.candidates(g, g.nodes.where(F.col("type") == "customer").select(F.col("id").alias("last_id")))
     return prune.numbered(found, ["last_id"], F.concat_ws(" ", "type", "there"))
 
@@ -365,8 +378,17 @@ _BEAM = (
     + "])) AS k), s AS (SELECT k, min({'id': id, 'name': name}) AS n FROM seeds JOIN nodes ON lower(name) = k GROUP BY k), p0 AS (SELECT n.id AS path_id, n.name AS text, [n.id] AS visited, n.id AS last_id, n.name AS last_name, 1.0::DOUBLE AS confidence, 0 AS seq FROM s)"
 )
 _REL, _ENT = _SIM.format(a="b.type", b=_Q), _SIM.format(a="n.name", b=_Q)
+_TOLD = ("n.name AS text", "text || ' → ' || last_name || ' -' || r.type || '→ ' || n.name AS text")
+_JSON = ("""'[{"subject":"' || n.name || '","object":"' || n.name || '"}' AS text""", """text || ',{"subject":"' || last_name || '","predicate":"' || r.type || '","object":"' || n.name || '"}' AS text""")
 _ONE = _BEAM + _HOP.format(out="p1", src="p0", rel=_REL, ent=_ENT, hop=1)
 _TWO = _ONE + _HOP.format(out="p2", src="p1", rel=_REL, ent=_ENT, hop=2) + ", k AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 ORDER BY confidence DESC, seq, path_id LIMIT 9)"
+#: Relations unscored, steps against an edge that stay, all paths of a hop kept until the lowest scores are, and those the next frontier.
+_FAITHFUL_HOP = """, {out}r AS (SELECT p.*, b.edge_id, b.there, b.is_incoming, row_number() OVER (PARTITION BY p.path_id ORDER BY b.is_incoming, b.edge_id) AS rel_rank
+  FROM {src} p JOIN both_ways b ON b.here = p.last_id WHERE NOT list_contains(p.visited, b.there)),
+{out}e AS (SELECT r.path_id || '>' || edge_id AS path_id, CASE WHEN is_incoming THEN visited ELSE list_append(visited, there) END AS visited, CASE WHEN is_incoming THEN last_id ELSE there END AS last_id, {ent} AS confidence, {hop} AS seq
+  FROM {out}r r JOIN nodes n ON n.id = r.there WHERE rel_rank <= 9),
+{out} AS (SELECT * FROM ({held}SELECT * FROM {out}e) ORDER BY confidence, seq DESC, path_id DESC LIMIT 9)"""
+_FAITHFUL = _BEAM + _FAITHFUL_HOP.format(out="p1", src="p0", ent=_ENT, hop=1, held="") + _FAITHFUL_HOP.format(out="p2", src="p1", ent=_ENT, hop=2, held="SELECT * FROM p1 UNION ALL ")
 
 
 def _beam(spark, d, hops, **more):
@@ -391,20 +413,24 @@ def render_paths(spark, d):
     return explore.render(_beam(spark, d, 2))
 
 
-@query()
+@query(_FAITHFUL + " SELECT path_id, last_id, round(confidence, 6) AS confidence FROM p2")
 def beam_faithful(spark, d):
     return _beam(spark, d, 2, faithful=True).select("path_id", "last_id", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+@query(_TWO.replace(_TOLD[1], _JSON[1]).replace(_TOLD[0], _JSON[0]) + " SELECT path_id, round(confidence, 6) AS confidence, text || ']' AS json FROM k")
 def format_result_triples(spark, d):
     return explore.formatted(_beam(spark, d, 2)).select("path_id", F.round("confidence", 6).alias("confidence"), "json")
 
 
-@query()
+@query(
+    _TWO
+    + f""", n AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, seq, path_id) AS i FROM k)
+SELECT count(*) > 0 AS success, {_Q} || chr(10) || string_agg(i || '. ' || text, chr(10) ORDER BY i) AS answer, string_agg(text, chr(10) ORDER BY i) AS paths FROM n"""
+)
 def explore_and_answer(spark, d):
     mentions = spark.createDataFrame([(s,) for s in _SEEDS], "mention string")
-    return explore.answer(project(spark, d), mentions, _QUESTION, explore.ExploreConfig(max_iterations=2))
+    return explore.answer(project(spark, d), mentions, _QUESTION, explore.ExploreConfig(max_iterations=2)).withColumn("paths", F.array_join("paths", "\n"))
 
 
 # replies of models, as columns
@@ -485,8 +511,7 @@ def entity_ids_md5(spark, d):
     f"WITH {_LINES} SELECT doc_id, seq - 1 AS seq, md5('Order#' || doc_id || '_' || p_name || '_RELATIONSHIP') AS id, md5('Order#' || doc_id || '_order') AS source_id, md5(p_name || '_part') AS target_id, l_returnflag AS types, l_discount AS strength, l_linestatus AS description FROM l"
 )
 def resolve_endpoints(spark, d):
-    docs = _extracted(spark, d)
-    return resolve.relations(docs, resolve.entities(docs)).withColumn("types", F.array_join("types", ","))
+    return resolve.relations(_extracted(spark, d)).withColumn("types", F.array_join("types", ","))
 
 
 @query(
@@ -497,8 +522,7 @@ SELECT doc_id, md5('Order#' || doc_id || '_' || p_name || '_RELATIONSHIP') AS id
 FROM m WHERE run = last GROUP BY doc_id, p_name"""
 )
 def rel_merge_fold(spark, d):
-    docs = _extracted(spark, d)
-    return resolve.merge_relations(resolve.relations(docs, resolve.entities(docs))).select("doc_id", "id", F.array_join("types", ",").alias("types"), "strength", "description", "n_rows")
+    return resolve.merge_relations(resolve.relations(_extracted(spark, d))).select("doc_id", "id", F.array_join("types", ",").alias("types"), "strength", "description", "n_rows")
 
 
 @query(
@@ -519,9 +543,41 @@ def dedup_entities(spark, d):
     return resolve.merge_entities(resolve.assign_leaders(resolve.entities(_extracted(spark, d)))).select("leader_doc", "leader_seq", "id", "name", F.array_join("aliases", ",").alias("aliases"), "n_rows")
 
 
-@query()
+@query(
+    f"""WITH {_LINES} SELECT doc_id, md5('Order#' || doc_id || '_' || p_name || '_RELATIONSHIP') AS id, md5('Order#' || doc_id || '_order') AS source_id, md5(p_name || '_part') AS target_id, l_returnflag AS types,
+max(l_discount) AS strength, string_agg(l_linestatus, ' | ' ORDER BY seq) AS description FROM l GROUP BY doc_id, p_name, l_returnflag"""
+)
 def built_relations(spark, d):
-    return resolve.build(_extracted(spark, d))[1].select("doc_id", "id", "source_id", "target_id", F.array_join("types", ",").alias("types"), "strength", "description")
+    """Relations of documents whose entities of the same name are merged, each with the ends that stand for its own."""
+    return _built(spark, d, 1.0)
+
+
+@query()
+def built_relations_similar(spark, d):
+    """The same with entities of similar names merged: the fold that SQL has no words for."""
+    return _built(spark, d, resolve.THRESHOLD)
+
+
+def _built(spark, d, threshold):
+    return resolve.build(_extracted(spark, d), threshold)[1].select("doc_id", "id", "source_id", "target_id", F.array_join("types", ",").alias("types"), "strength", "description")
+
+
+def _said(prompt: str) -> str:
+    """Stands for a model that reads "a is a b of c"."""
+    name, _, rest = prompt.rsplit("Text:\n", 1)[1].partition(" is a ")
+    kind, _, brand = rest.partition(" of ")
+    entities = [{"name": name, "type": kind, "description": ""}, {"name": brand, "type": "brand", "description": "a brand"}]
+    return "```json\n" + json.dumps({"entities": entities, "relationships": [{"source": name, "target": brand, "description": "", "relationship_types": ["MADE_BY"], "strength": "strong"}]}) + "\n```"
+
+
+@query("SELECT p_partkey AS doc_id, p_name || '|' || p_brand AS names, p_type || '|brand' AS types, p_name || '>MADE_BY>' || p_brand || '>strong' AS relation FROM part")
+def text_to_graph(spark, d):
+    """Graphs from sentences by a model (here a rule in a model's place), in the plainer form."""
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.lit(" is a "), "p_type", F.lit(" of "), "p_brand").alias("text"))
+    g = F.col("graph")
+    r = F.get(g["relationships"], 0)
+    found = assisted.graphs(docs, lambda: models.Function(_said), attributes=False)
+    return found.select("doc_id", F.array_join(g["entities"]["name"], "|").alias("names"), F.array_join(g["entities"]["type"], "|").alias("types"), F.concat_ws(">", r["source"], F.array_join(r["relationship_types"], ","), r["target"], r["strength"]).alias("relation"))
 
 
 # changing a graph
@@ -559,6 +615,15 @@ def update_node(spark, d):
     return g.nodes.where(F.col("type") == "customer").select("id", F.col("props")["c_mktsegment"].alias("segment"), F.col("props")["tier"].alias("tier"))
 
 
+@query("SELECT 'KNOWN_AS|nation:' || n_nationkey || '|region:' || r_regionkey AS id, 'nation:' || n_nationkey AS src, 'region:' || r_regionkey AS dst, 'KNOWN_AS' AS type FROM nation, region WHERE r_name IN ('REGION_1', 'REGION_3')")
+def relate_by_name(spark, d):
+    """An edge from each nation of a name to each region of a name: two equi-joins by label and name."""
+    g = project(spark, d, ("nation", "region"), ("IN_REGION",))
+    pairs = table(spark, d, "nation").select(F.lit("nation").alias("src_label"), F.col("n_name").alias("src_name"), F.lit("region").alias("dst_label"), F.explode(F.array(F.lit("REGION_1"), F.lit("REGION_3"), F.lit("NONE"))).alias("dst_name"), F.lit("KNOWN_AS").alias("type"))
+    g = PropertyGraph(g.nodes, g.edges.limit(0)).relate(pairs)
+    return g.edges.select("id", "src", "dst", "type")
+
+
 # N-Triples, JSON and drawing
 
 _E, _P = ntriples.ENTITY, ntriples.PROPERTY
@@ -630,6 +695,29 @@ def json_export_relationships(spark, d):
     return jsonkg.relationship_objects(_customers(spark, d))
 
 
+_SEGMENTS = "s AS (SELECT c_mktsegment AS k, c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+def _json_files(spark, d):
+    """A file for each customer: the customer with a segment, its nation by name only, and the relationship."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = lambda *kv: F.create_map(*[F.lit(x) if k % 2 == 0 else x for k, x in enumerate(kv)])
+    return c.select(
+        F.array(text("name", F.col("c_name"), "type", F.lit("customer"), "segment", F.col("c_mktsegment"))).alias("entities"),
+        F.array(text("source", F.col("c_name"), "target", F.col("n_name"), "type", F.lit("LIVES_IN"))).alias("relationships"), F.format_string("%012d", "c_custkey").alias("file"),
+    )
+
+
+@query(f"WITH {_SEGMENTS} SELECT c_name AS id, 'customer' AS type, k AS segment FROM s UNION ALL SELECT DISTINCT n_name, NULL, NULL FROM s")
+def json_load_nodes(spark, d):
+    return jsonkg.load(_json_files(spark, d)).nodes.select("id", "type", F.col("props")["segment"].alias("segment"))
+
+
+@query(f"WITH {_SEGMENTS} SELECT c_name AS src, n_name AS dst, 'LIVES_IN' AS type FROM s")
+def json_load_edges(spark, d):
+    return jsonkg.load(_json_files(spark, d)).edges.select("src", "dst", "type")
+
+
 @query("SELECT 'customer:' || c_custkey AS id, c_name AS label, CASE c_mktsegment WHEN 'MACHINERY' THEN '#111111' WHEN 'BUILDING' THEN '#222222' ELSE '#D3D3D3' END AS color FROM customer UNION ALL SELECT 'nation:' || n_nationkey, n_name, '#D3D3D3' FROM nation")
 def render_colors(spark, d):
     return html.mapped_nodes(_customers(spark, d), "c_mktsegment", {"MACHINERY": "#111111", "BUILDING": "#222222"})
@@ -683,6 +771,12 @@ def confidence_shares(spark, d):
     return table(spark, d, "events").select("event_id", as_share(F.col("value")).alias("share"), first_confidence(F.get_json_object("props", "$.confidence"), F.get_json_object("props", "$.k"), F.col("value").cast("string")).alias("first_share"))
 
 
+@query("SELECT o_orderkey, printf('%.1f%%', (o_orderkey % 1000) / 10.0) AS percent, printf('%.3f', (o_orderkey % 1000) / 1000.0) AS score FROM orders")
+def figures_as_text(spark, d):
+    share = (F.col("o_orderkey") % 1000) / 1000
+    return table(spark, d, "orders").select("o_orderkey", percent_text(share).alias("percent"), score_text(share).alias("score"))
+
+
 @query("SELECT event_id, event_type AS level FROM events WHERE event_type = 'error'")
 def log_view(spark, d):
     return metrics.log_view(table(spark, d, "events").select("event_id", F.col("event_type").alias("level")), "error")
@@ -693,6 +787,11 @@ def log_levels(spark, d):
     return metrics.log_levels(table(spark, d, "events").select(F.col("event_type").alias("level")))
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS query, props AS result FROM events")
+def history_newest_first(spark, d):
+    return metrics.history_view(table(spark, d, "events").select(timestamp_text(F.col("ts")).alias("timestamp"), F.col("event_type").alias("query"), F.col("props").alias("result")))
+
+
 @query("SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events")
 def time_texts(spark, d):
     return table(spark, d, "events").select("event_id", clock(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("clock"), timestamp_text(F.col("ts")).alias("stamp"))
@@ -706,11 +805,19 @@ def text_functions(spark, d):
 # text, and extensions
 
 
-@query("SELECT doc_id, n_name AS mention FROM documents JOIN nation ON list_contains(regexp_extract_all(lower(text), '[^ \\n]+'), lower(n_name))")
-def doc_mentions(spark, d):
-    return extract.mentions(table(spark, d, "documents"), project(spark, d).nodes.where(F.col("type") == "nation"), most_words=1)
+_SPLIT = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}#_]+'), lambda w: w <> '')"
 
 
+@query(
+    GRAPH
+    + f""", t AS (SELECT doc_id, {_SPLIT.format("text")} AS w FROM documents WHERE text IS NOT NULL), k AS (SELECT unnest([1, 2, 3]) AS k),
+x AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS run FROM t, k),
+m AS (SELECT DISTINCT name AS mention, array_to_string({_SPLIT.format("name")}, ' ') AS run FROM nodes)
+SELECT DISTINCT doc_id, mention FROM x JOIN m ON x.run = m.run WHERE m.run <> ''"""
+)
+def doc_mentions(spark, d):
+    """Names of all nodes, of up to three words, in all documents."""
+    return extract.mentions(table(spark, d, "documents"), project(spark, d).nodes)
 
 
 @query("SELECT c_custkey, 'Ada Lovelace>founded>Acme|Bob>runs>Big Co' AS svo, 'Ada Lovelace,Acme,Later,Eve,Bob,Big Co' AS names FROM customer")
