@@ -31,8 +31,8 @@ MADE = ["fingerprint", "component_id"]
 SEED = 42
 #: Rows of a chunk of a hot group, and rows that a task holds at a time besides.
 GROUP_ROWS, CHUNK_ROWS = 16384, 65536
-#: Texts of a chunk of a component whose sets are compared.
-SET_ROWS = 1024
+#: Texts of a chunk of a component whose sets are compared, and their hashes, about.
+SET_ROWS, SET_HASHES = 1024, 1 << 22
 #: Shingles up to which a text meets others by shared shingles, as few make fingerprints vary more.
 FEW = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -136,13 +136,18 @@ class _Labels:
             while (self.of[self.of] != self.of).any():
                 self.of = self.of[self.of]
 
+    def apart(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        """Which pairs of ranges of positions (a0..a1, b0..b1) are not one component yet."""
+        change = np.concatenate([[0], np.cumsum(self.of[1:] != self.of[:-1])])
+        return (self.of[a0] != self.of[b0]) | (change[a1 - 1] != change[a0]) | (change[b1 - 1] != change[b0])
+
 
 def trie_links(turned: np.ndarray, lead: int, rule: Rule, words: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
     """For sorted turned fingerprints, the position of each one's component among links of those with the same `lead` first bits.
 
     A node of the trie is a range of the sorted array; its two children part at the next bit. The pairs
     of nodes of a level are arrays, so a level is one step: pairs split, differing bits add up, pairs
-    over the budget go. A pair of a few leaves is compared directly, over all fingerprints (`words`) and sizes if given.
+    over the budget go, as do pairs that are one component already, so a dense group costs little more than its rows. A pair of a few leaves is compared directly, over all fingerprints (`words`) and sizes if given.
     """
     n, leaf = len(turned), 32
     labels = _Labels(n)
@@ -151,7 +156,13 @@ def trie_links(turned: np.ndarray, lead: int, rule: Rule, words: np.ndarray | No
     head = turned >> np.uint64(64 - lead) if lead else np.zeros(n, np.uint64)
     starts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
     stops = np.append(starts[1:], n)
+    for start, stop in zip(starts[stops - starts > 256], stops[stops - starts > 256], strict=True):
+        for pivot in np.linspace(start, stop - 1, 8).astype(int):  # most of a dense group are near one of a few
+            one = np.array([pivot]), np.array([pivot + 1])
+            if labels.apart(*one, np.array([start]), np.array([stop]))[0]:
+                _compare(turned, *one, np.array([start]), np.array([stop]), rule, labels, words, sizes)
     many = stops - starts > 1
+    many[many] = labels.apart(starts[many], stops[many], starts[many], stops[many])
     a0, a1 = starts[many], stops[many]
     b0, b1, err = a0, a1, np.zeros(len(a0), np.int64)
     for bit in range(63 - lead, -2, -1):
@@ -166,6 +177,8 @@ def trie_links(turned: np.ndarray, lead: int, rule: Rule, words: np.ndarray | No
         a0, a1, b0, b1, err = (np.concatenate(v) for v in zip(*sides, strict=True))
         keep = (a1 > a0) & (b1 > b0) & (err <= rule.most)
         a0, a1, b0, b1, err = (v[keep] for v in (a0, a1, b0, b1, err))
+        keep = labels.apart(a0, a1, b0, b1)
+        a0, a1, b0, b1, err = (v[keep] for v in (a0, a1, b0, b1, err))
     return labels.of
 
 
@@ -175,15 +188,19 @@ def _cut(turned: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.nda
     return np.clip(np.searchsorted(turned, ((turned[lo] >> shift) | np.uint64(1)) << shift), lo, hi)
 
 
-def _compare(turned, a0, a1, b0, b1, rule, labels, words, sizes, pairs: int = 1 << 20) -> None:
-    """Links all pairs within the rule of node pairs of a few leaves, about `pairs` at a time."""
-    size = (a1 - a0) * (b1 - b0)
-    cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + pairs, pairs), side="right")
-    for lo, hi in zip(cuts, [*cuts[1:], len(size)], strict=True):
-        if lo >= hi:
-            continue
-        count = size[lo:hi]
-        pair = np.repeat(np.arange(lo, hi), count)
+def _compare(turned, a0, a1, b0, b1, rule, labels, words, sizes, pairs: int = 1 << 16, most: int = 1 << 20) -> None:
+    """Links node pairs of a few leaves as all pairs within the rule would, about `pairs` at a time and then twice as many, up to `most`.
+
+    Nodes with themselves come first, then pairs with the first nodes; pairs of nodes that are one component by then are left out.
+    """
+    order = np.lexsort((b0, a0, a0 != b0))
+    while len(order):
+        a0, a1, b0, b1 = (v[order] for v in (a0, a1, b0, b1))
+        size = (a1 - a0) * (b1 - b0)
+        many = max(1, int(np.searchsorted(np.cumsum(size), pairs, side="right")))
+        pairs = min(2 * pairs, most)
+        count = size[:many]
+        pair = np.repeat(np.arange(many), count)
         k = np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)
         ny = (b1 - b0)[pair]
         i, j = a0[pair] + k // ny, b0[pair] + k % ny
@@ -197,6 +214,7 @@ def _compare(turned, a0, a1, b0, b1, rule, labels, words, sizes, pairs: int = 1
             ok = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= rule.total
             i, j = i[ok], j[ok]
         labels.link(i, j)
+        order = many + np.flatnonzero(labels.apart(*(v[many:] for v in (a0, a1, b0, b1))))
 
 
 def _forest(table_: pa.Table, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +237,11 @@ def _stars(node: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[odd], least[root[odd]]
 
 
-def _chunked(rows: DataFrame, group_rows: int) -> DataFrame:
-    """rows (with node, and rows: the size of a group that is hot, else null) for each pair of chunks i <= j that their chunk is part of."""
-    many = F.coalesce(F.ceil(F.col("rows") / group_rows).cast("int"), F.lit(1))
-    rows = rows.withColumn("m", many).withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+def _chunked(rows: DataFrame) -> DataFrame:
+    """rows (with node, and m: the chunks of its group, null for one) for each pair of chunks i <= j that their chunk is part of."""
+    rows = rows.withColumn("m", F.coalesce(F.col("m").cast("int"), F.lit(1))).withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(F.col("s"), j).alias("i"), F.greatest(F.col("s"), j).alias("j")))
-    kept = [c for c in rows.columns if c not in ("rows", "m", "s")]
+    kept = [c for c in rows.columns if c not in ("m", "s")]
     return rows.select(*kept, F.explode(pairs).alias("c")).select(*kept, "c.i", "c.j")
 
 
@@ -238,8 +255,8 @@ def links(nodes: DataFrame, rule: Rule, group_rows: int = GROUP_ROWS) -> DataFra
     each = [F.struct(F.lit(p * rule.blocks + k).alias("block"), turn(F.get("fps", p), k).alias("turned")) for p in range(rule.parts) for k in range(rule.blocks)]
     carried = ["fps", "n"] if rule.parts > 1 else []
     dealt = nodes.select("node", *carried, F.explode(F.array(*each)).alias("k")).select("node", *carried, "k.block", "k.turned", F.shiftrightunsigned("k.turned", 64 - lead).alias("value"))
-    hot = written(dealt.groupBy("block", "value").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > group_rows), "simhash-hot")
-    salted = _chunked(dealt.join(hot, ["block", "value"], "left"), group_rows)
+    hot = written(dealt.groupBy("block", "value").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("m")).where(F.col("m") > 1), "simhash-hot")
+    salted = _chunked(dealt.join(hot, ["block", "value"], "left"))
 
     def run(batches):
         for whole in _whole_groups(batches, ("block", "i", "j", "value"), CHUNK_ROWS):
@@ -272,10 +289,11 @@ def _whole_groups(batches, keys: tuple[str, ...], rows: int):
         yield pa.concat_tables(held)
 
 
-def set_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+def set_links(sets: list[np.ndarray], similarity: float, pivots: int = 16) -> np.ndarray:
     """For sets of distinct hashes, the position of each one's component among pairs with a Jaccard similarity from `similarity` on.
 
-    Common elements of all pairs are counted as a product of incidence matrices, over elements that two sets have.
+    A few sets are compared with all: of near copies most are one component then. Pairs of which one is outside of the largest
+    component are compared next, by products of incidence matrices over elements that two sets have.
     """
     n = len(sets)
     labels = _Labels(n)
@@ -283,26 +301,36 @@ def set_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     owner = np.repeat(np.arange(n), size)
     _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     column = np.cumsum(times > 1) - 1
-    shared = times[at] > 1
+    shared, columns = times[at] > 1, int((times > 1).sum())
     owner, at = owner[shared], column[at[shared]]
-    common = np.zeros((n, n), dtype=np.float32)
-    for lo in range(0, int((times > 1).sum()), 4096):
+    alike = lambda common, a, b: (common >= similarity * (a + b - common) - 1e-6) & (a + b > 0)
+    outside = np.arange(n)
+    for p in np.linspace(0, n - 1, min(n, pivots)).astype(int):
+        if p in outside:
+            held = np.zeros(columns, bool)
+            held[at[owner == p]] = True
+            near = np.flatnonzero(alike(np.bincount(owner[held[at]], minlength=n), size[p], size))
+            labels.link(np.full(len(near), p), near)
+            outside = np.flatnonzero(labels.of != np.bincount(labels.of).argmax())
+    common = np.zeros((len(outside), n), dtype=np.float32)
+    for lo in range(0, columns if len(outside) else 0, 4096):
         part = (at >= lo) & (at < lo + 4096)
-        held = np.zeros((n, min(4096, int((times > 1).sum()) - lo)), dtype=np.float32)
+        held = np.zeros((n, min(4096, columns - lo)), dtype=np.float32)
         held[owner[part], at[part] - lo] = 1
-        common += held @ held.T
-    together = size[:, None] + size[None, :] - common
-    labels.link(*np.nonzero(np.triu((common >= similarity * together - 1e-6) & (together > 0), 1)))
+        common += held[outside] @ held.T
+    i, j = np.nonzero(alike(common, size[outside, None], size[None, :]))
+    labels.link(outside[i], j)
     return labels.of
 
 
-def checked_links(members: DataFrame, similarity: float, set_rows: int = SET_ROWS) -> DataFrame:
+def checked_links(members: DataFrame, similarity: float, set_rows: int = SET_ROWS, set_hashes: int = SET_HASHES) -> DataFrame:
     """a, b: links that connect the nodes of each group (node, group, hashes) as all pairs with the similarity would.
 
-    Large groups are cut into chunks that meet pair by pair, as in links().
+    Groups of many texts or long ones are cut into chunks that meet pair by pair, as in links().
     """
-    hot = written(members.groupBy("group").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > set_rows), "simhash-large")
-    salted = _chunked(members.join(hot, "group", "left"), set_rows)
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / set_rows), F.ceil(F.sum(F.size("hashes")) / set_hashes))
+    hot = written(members.groupBy("group").agg(chunks.alias("m")).where(F.col("m") > 1), "simhash-large")
+    salted = _chunked(members.join(hot, "group", "left"))
 
     def run(batches):
         for whole in _whole_groups(batches, ("group", "i", "j"), 1):
