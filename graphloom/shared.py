@@ -54,6 +54,11 @@ class Written:
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def size(self) -> int:
+        """Bytes on disk."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
     def drop(self) -> None:
         remove(self.spark, self.path)
 
