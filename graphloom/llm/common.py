@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.shared import Written, shared_dir, written
 
-__all__ = ["SPACE", "WORD", "Written", "ascii_lower", "bounded_sample", "count_words", "held_out", "keep_columns", "row_keys", "shared_dir", "slices", "table", "written"]
+__all__ = ["SPACE", "WORD", "Written", "ascii_lower", "bounded_sample", "count_words", "hashed", "held_out", "keep_columns", "row_keys", "shared_dir", "slices", "table", "written"]
 
 #: The white space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -33,6 +33,16 @@ def row_keys(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit(0x9E3779B9), *cols)
 
 
+#: Bytes on disk of a join's side that a task may hold in a hash table; in memory they are several times as many.
+HASHED = 32 << 20
+
+
+def hashed(side: Written) -> DataFrame:
+    """A written frame with the hint to meet the other side in hash tables, so that the other need not be sorted, if a task's share of it is small; a larger one is left to a sort, which can spill."""
+    tasks = int(side.spark.conf.get("spark.sql.shuffle.partitions"))
+    return side.df.hint("shuffle_hash") if side.size() <= HASHED * tasks else side.df
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from; a null id is not in it."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACE, ascii_lower, keep_columns, row_keys, table, written
+from graphloom.llm.common import SPACE, Written, ascii_lower, hashed, keep_columns, row_keys, table, written
 
 MADE = ["n_lines", "n_dropped"]
 
@@ -52,7 +52,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
     """
     shared = written(shared_lines(docs.select("doc_id", "text"), min_docs, min_chars), "shared-lines")
     dropped = _keys(docs.select("doc_id", "text"), min_chars).join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))).groupBy("r1", "r2").agg(F.collect_set("pos").alias("__drop")).withColumnsRenamed({"r1": "__d1", "r2": "__d2"})
-    dropped = dropped.hint("shuffle_hash")  # positions are few beside texts: texts stream past them unsorted
+    dropped = hashed(Written(dropped, "dropped-lines"))  # positions are few beside texts, which then stream past them unsorted
     text = F.coalesce(F.col("text"), F.lit(""))
     r1, r2 = row_keys(F.col("doc_id"), text)
     kept = keep_columns(docs, MADE)

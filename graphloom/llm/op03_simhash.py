@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Written, row_keys, slices, table, written
+from graphloom.llm.common import Written, hashed, row_keys, slices, table, written
 
 MADE = ["fingerprint", "component_id"]
 SEED = 42
@@ -434,9 +434,9 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     fps = written(fps.withColumn("node", F.xxhash64("fps", "n")), "simhash")
     near = linked(fps, rule)
     read = fps.join(near, "node").groupBy("node", F.col("root").alias("group")).agg(F.min(F.struct("r1", "r2")).alias("k"))
-    read = written(read.select("node", "group", F.col("k.r1").alias("k1"), F.col("k.r2").alias("k2")), "simhash-candidates")
+    read = Written(read.select("node", "group", F.col("k.r1").alias("k1"), F.col("k.r2").alias("k2")), "simhash-candidates")
     r1, r2 = row_keys(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    texts = docs.select("text", r1.alias("k1"), r2.alias("k2")).join(read.hint("shuffle_hash"), ["k1", "k2"]).select("node", "group", "text")
+    texts = docs.select("text", r1.alias("k1"), r2.alias("k2")).join(hashed(read), ["k1", "k2"]).select("node", "group", "text")
 
     def run(batches):
         for b in slices(batches):
@@ -457,13 +457,13 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     first = found.groupBy(group.alias("component_id"), F.when(group.isNull(), F.col("r1")).alias("nameless")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("row"))
     keys = first.select(F.col("row.r1").alias("__k1"), F.col("row.r2").alias("__k2"))
     times = found.groupBy(F.col("r1").alias("__k1"), F.col("r2").alias("__k2")).agg(F.count(F.lit(1)).alias("__times"))
-    keys = written(keys.join(times, ["__k1", "__k2"]), "simhash-kept")
+    keys = Written(keys.join(times, ["__k1", "__k2"]), "simhash-kept")
     r1, r2 = row_keys(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
     held = [c for c in docs.columns if c.lower() in ("__k1", "__k2", "__times")]
     docs = docs.withColumnsRenamed({c: f"__held{c}" for c in held})
-    kept = docs.withColumns({"__k1": r1, "__k2": r2}).join(keys.hint("shuffle_hash"), ["__k1", "__k2"])
+    kept = docs.withColumns({"__k1": r1, "__k2": r2}).join(hashed(keys), ["__k1", "__k2"])
     single = kept.where(F.col("__times") == 1)
-    if keys.where(F.col("__times") > 1).limit(1).count():  # rows that are alike in id and text
+    if keys.df.where(F.col("__times") > 1).limit(1).count():  # rows that are alike in id and text
         single = single.union(kept.where(F.col("__times") > 1).dropDuplicates(["__k1", "__k2"]))
     return single.select(*docs.columns).withColumnsRenamed({f"__held{c}": c for c in held})
 

@@ -888,3 +888,17 @@ def test_set_links_are_all_pairs_links():
     want = plain_components(len(sets), lambda i, j: alike(sets[i], sets[j]))
     for pivots in (0, 1, 16):
         assert op03_simhash.set_links(sets, 0.8, pivots).tolist() == want
+
+
+def test_only_small_sides_are_hashed(spark, odd_docs, monkeypatch):
+    """By their size on disk; results are the same either way."""
+    from graphloom.llm import common
+
+    side = common.Written(odd_docs, "side")
+    hinted = lambda: "shuffle_hash" in common.hashed(side)._jdf.queryExecution().logical().toString()
+    assert side.size() > 0 and hinted()
+    monkeypatch.setattr(common, "HASHED", 1)
+    assert not hinted()
+    got = op02_lines.dedup_lines(odd_docs)
+    assert collected(got.select("doc_id", "text", "n_lines", "n_dropped")) == plain_lines([(r.doc_id, r.text) for r in odd_docs.collect()])
+    assert sorted((r.doc_id for r in op03_simhash.one_of_each(odd_docs).collect()), key=str) == [1, 4, 5, 7, 8]
