@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import not_visited, relation_label
 from graphloom.graph import PropertyGraph
+from graphloom.shared import written
 
 
 #: The order in which candidates are found: outgoing edges, then incoming ones, by id.
@@ -45,17 +48,28 @@ def by_relation_ids(graph: PropertyGraph, frontier: DataFrame, relation_ids: lis
 def simple_paths(graph: PropertyGraph, start: DataFrame, hops: int, limit: int | None = None) -> DataFrame:
     """Directed paths of 1..hops edges from the ids of start, no edge twice in a path: start_id, end_id, edge_ids, types, length.
 
-    limit keeps that many of the shortest, by (length, edge ids): a total order.
+    limit keeps that many of the shortest, by (length, edge ids): a total order. Longer paths are then made only
+    where there are too few shorter ones. Edges are made once, however many hops there are.
     """
     e = graph.edges.select(F.col("id").alias("e"), F.col("src").alias("s"), F.col("dst").alias("d"), F.col("type").alias("t"))
+    e = written(e, "edges") if hops > 1 and limit is None else e
     now = start.select(F.col("id").alias("start_id")).join(e, F.col("start_id") == F.col("s")).select("start_id", F.col("d").alias("end_id"), F.array("e").alias("edge_ids"), F.array("t").alias("types"))
-    found = now
-    for _ in range(hops - 1):
-        now = now.join(e, F.col("end_id") == F.col("s")).where(~F.array_contains("edge_ids", F.col("e")))
-        now = now.select("start_id", F.col("d").alias("end_id"), F.array_append("edge_ids", F.col("e")).alias("edge_ids"), F.array_append("types", F.col("t")).alias("types"))
-        found = found.unionByName(now)
-    found = found.withColumn("length", F.size("edge_ids"))
-    return found.orderBy("length", F.array_join("edge_ids", "_")).limit(limit) if limit is not None else found
+    kept: list[DataFrame] = []
+    left = limit
+    for hop in range(1, hops + 1):
+        if hop > 1:
+            now = now.join(e, F.col("end_id") == F.col("s")).where(~F.array_contains("edge_ids", F.col("e")))
+            now = now.select("start_id", F.col("d").alias("end_id"), F.array_append("edge_ids", F.col("e")).alias("edge_ids"), F.array_append("types", F.col("t")).alias("types"))
+        if left is None:
+            kept.append(now)
+            continue
+        best = written(now.orderBy(F.array_join("edge_ids", "_")).limit(left), "paths")
+        kept.append(best)
+        left -= best.count()
+        if left <= 0:
+            break
+    found = reduce(DataFrame.unionByName, kept).withColumn("length", F.size("edge_ids"))
+    return found.orderBy("length", F.array_join("edge_ids", "_")) if limit is not None else found
 
 
 def composite_relations(paths: DataFrame) -> DataFrame:
