@@ -106,7 +106,7 @@ def test_viterbi_and_marginals_are_exact():
         score = lambda tags: sum(e[k, i, t] for i, t in enumerate(tags)) + sum(crf.step[a, b] for a, b in zip([0, *tags], [*tags, 0], strict=True))  # noqa: B023, E731
         ways = list(itertools.product(range(3), repeat=n))
         scores = np.array([score(w) for w in ways])
-        assert score(crf.viterbi(c)) == pytest.approx(scores.max())
+        assert score(crf.viterbi(crf.emissions(c), 2).tolist()) == pytest.approx(scores.max())
         chance = np.exp(scores - np.logaddexp.reduce(scores))
         for i in range(n):
             assert p[k, i] == pytest.approx([sum(x for x, w in zip(chance, ways, strict=True) if w[i] == t) for t in range(3)])
@@ -122,8 +122,8 @@ def plain_crf_spans(text, crf):
     file = op01_secrets._hashes(op01_secrets._file(text))
     free = {}
     for chain in op01_secrets._chains(text):
-        for span, f in zip(chain, op01_secrets._features(text, chain, file), strict=True):
-            free[span] = [sum(crf.state[i][t] for i in f) for t in range(3)]
+        for span, f in zip(chain.tolist(), np.concatenate(list(op01_secrets._features(text, chain, file))), strict=True):
+            free[tuple(span)] = [sum(crf.state[i][t] for i in f) for t in range(3)]
     tokens = sorted({m.span() for m in op01_secrets._TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for a, b in free)} | set(free))
     best, ways = {0: 0.0}, []
     for t in tokens:
@@ -157,6 +157,21 @@ def test_crf_spans_are_the_whole_texts_path(spark, sf, crf):
         assert op01_secrets.crf_spans(t, crf) == plain_crf_spans(t, crf)
 
 
+def test_features_by_blocks(crf):
+    """Features and tags don't hang on how a long chain is cut into blocks; a chunk of a million characters is one chain."""
+    rng = random.Random(4)
+    text = "see token = " + "".join(rng.choice("abcXYZ0189+/") for _ in range(3000)) + " end of it, 12 more words Ab9x"
+    (tokens,) = op01_secrets._chains(text)
+    file = op01_secrets._hashes(op01_secrets._file(text))
+    whole = np.concatenate(list(op01_secrets._features(text, tokens, file, 10**6)))
+    for block in (1, 7, 512):
+        assert np.array_equal(np.concatenate(list(op01_secrets._features(text, tokens, file, block))), whole)
+    e = crf.emissions(whole)
+    assert np.array_equal(crf.viterbi(e, 5), crf.viterbi(e))
+    long_ = "x " * 40 + "Ab9" * 100_000 + " y" * 40
+    assert len(op01_secrets._chains(long_)) == 1 and isinstance(op01_secrets.crf_spans(long_, crf), list)
+
+
 def test_crf_finds_values_without_key_words(crf):
     """Planted values of other alphabets, without any key word; and nothing else in the texts."""
     rng = random.Random(21)
