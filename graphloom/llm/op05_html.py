@@ -1,7 +1,7 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines, a line a block of text. A line's length is its text outside of links; lines of menus,
-headers, footers, sidebars, notices, adverts, forms and comments have none, nor have lines that are mostly links. The
+Markup is stripped to lines, a line a block of text. A line's length is its text, outside of articles without that of links; lines
+of menus, headers, footers, sidebars, notices, adverts, forms and comments have none, nor have lines that are mostly links. The
 lengths are summed over sliding windows of lines: text begins where a window surges over the threshold and ends where
 windows dive to nothing. A surge takes the lines that adjoin it, too, and where it lies in an element that the page
 marks as an article or its main part, that element's beginning and end are the surge's and the dive's points: short first
@@ -173,7 +173,8 @@ def main_text(page: str | None) -> str:
     r"""The article's blocks joined by \n; "" of a null or empty page, or one without text."""
     lines = _lines(page or "")
     open_ = [not _left_out(node) for *_, node in lines]
-    length = [len(t) - k if ok and k <= LINKS * len(t) else 0 for ok, (t, k, _) in zip(open_, lines, strict=True)]
+    inside = lambda t, k, node: len(t) if node.mark else len(t) - k if k <= LINKS * len(t) else 0  # noqa: E731  links in an article are its text
+    length = [inside(*line) if ok else 0 for ok, line in zip(open_, lines, strict=True)]
     sums = windows(length)
     surge = min(SURGE, max(sums, default=0)) or 1
     # lines from a surge to its dive

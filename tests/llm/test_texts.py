@@ -459,6 +459,8 @@ PAGES = [
     ("<p>1 < 2 &lt; 3 &#233; &unknown;</p>", "1 < 2 < 3 é &unknown;"),
     ("<div class='cookie-notice'>" + "cookies " * 30 + "</div><div class=text><p>" + "Words of it. " * 20 + "</p><p>short</p></div><ul><li><a href=x>" + "link " * 10 + "</a></li></ul>", ("Words of it. " * 20).strip() + "\nshort"),
     ("<p>unclosed <b>bold", "unclosed bold"),
+    ("<ul><li><a href=x>menu</a></ul><article><p><a href=y>all of it is a link</a></p></article>", "all of it is a link"),
+    ("<ul><li><a href=x>menu</a></ul>", ""),
 ]
 
 
