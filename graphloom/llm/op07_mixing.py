@@ -14,7 +14,7 @@ target is reached, and only that bin's documents are ordered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import count_words, keep_columns, row_keys, table, written
@@ -29,6 +29,23 @@ BINS = 4096
 MADE = ["size", "source_size", "target", "taken"]
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, str], range_rows: int = 1 << 16) -> DataFrame:
+    """rows with __n, their place from 0 in a total order, and for each name in sums the sum of a column over the rows before.
+
+    Rows are dealt out by ranges of the order, of about range_rows rows; places and sums within a range go on from what the ranges before it have. No task holds all rows.
+    """
+    ranges = max(1, -(-rows.count() // range_rows))
+    dealt = written(rows.repartitionByRange(ranges, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n0"), *[F.sum(c).alias(f"__{name}0") for name, c in sums.items()])  # a row for each range
+    back = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    start = lambda c: F.coalesce(F.sum(c).over(back), F.lit(0)).alias(c)
+    parts = parts.select("__part", start("__n0"), *[start(f"__{name}0") for name in sums])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0))
+    found = dealt.join(parts, "__part").withColumn("__n", before(F.lit(1)) + F.col("__n0"))
+    return found.withColumns({name: before(c) + F.col(f"__{name}0") for name, c in sums.items()}).drop("__part", "__n0", *[f"__{name}0" for name in sums])
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, target from one row a source.
 
@@ -37,18 +54,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     level is found in one pass: sources in the order of cap over weight fill up first, so the first
     whose cap the remaining level does not reach, and all after it, get weight x level.
     """
-    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
-    named = sizes.withColumn("n", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    named = named.select("source", "source_size", "n", turn.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
-    by = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("n").asc())
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    after = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    level = (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    found = named.withColumn("level", level).withColumn("full", F.col("level") * F.col("w") >= F.col("cap"))
-    found = found.withColumn("at", F.min(F.when(~F.col("full"), F.struct((F.col("cap") / F.col("w")).alias("k"), F.col("n"), F.col("level")))).over(every))
-    full = F.col("at").isNull() | (F.struct((F.col("cap") / F.col("w")).alias("k"), F.col("n")) < F.struct(F.col("at.k").alias("k"), F.col("at.n").alias("n")))
-    return found.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("w") * F.col("at.level")).alias("target"))
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__n") % len(weights) + 1).cast("int"))
+    named = running(sizes, [F.col("source").asc_nulls_last()], {})
+    named = named.select("source", "source_size", F.col("__n").alias("n"), turn.alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    named = named.withColumn("k", F.col("cap") / F.col("w"))
+    found = written(running(named, [F.col("k").asc(), F.col("n").asc()], {"capped": "cap", "weighed": "w"}), "mix-sources")
+    whole = found.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    if whole.w is None:
+        return found.select("source", "source_size", F.col("cap").alias("target"))
+    level = (F.lit(float(whole.size)) * F.lit(float(share)) - F.col("capped")) / (F.lit(float(whole.w)) - F.col("weighed"))
+    at = found.withColumn("level", level).where(F.col("level") * F.col("w") < F.col("cap")).agg(F.min(F.struct("k", "n", "level")).alias("at")).first()["at"]
+    full = F.lit(True) if at is None else F.struct("k", "n") < F.struct(F.lit(at.k).alias("k"), F.lit(at.n).alias("n"))
+    return found.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.col("w") * F.lit(0.0 if at is None else at.level)).alias("target"))
 
 
 def _ranked(docs: DataFrame, seed: int) -> DataFrame:
@@ -94,7 +111,7 @@ def plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
     Documents get `whole` copies, those before `cut` in the order (all, if cut is null) one more, and so does `best`.
     """
     rows = rows.select("doc_id", "source", "size", "__octave", "__u", "__t")
-    classes = rows.groupBy("source", F.col("__octave").alias("octave")).agg(F.sum("size").alias("words"))
+    classes = written(rows.groupBy("source", F.col("__octave").alias("octave")).agg(F.sum("size").alias("words")), "mix-classes")
     goal = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most).withColumnRenamed("source", "__s")
     classes = classes.join(goal, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     goal = written(shares(classes, most, lean).withColumnsRenamed({"source": "__s", "octave": "__o", "p": "__p"}), "mix-goals")

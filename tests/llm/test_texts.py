@@ -533,6 +533,19 @@ def plain_targets(sizes):
     return full
 
 
+def test_targets_of_many_sources(spark):
+    """More sources than ranges, with ties, sources without words and a null one."""
+    rng = random.Random(31)
+    sizes = {None if k == 0 else f"h{rng.randrange(10**6)}é"[: 3 + k % 6]: rng.choice([0, 1, 1, 7, 50, 900]) for k in range(700)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in op07_mixing.targets(df).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+    places = op07_mixing.running(df, [F.col("source").asc_nulls_last()], {"before": "source_size"}, 50).collect()
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert {r.source: r["__n"] for r in places} == {s: k for k, s in enumerate(order)}
+    assert all(r.before == sum(sizes[s] for s in order[: r["__n"]]) for r in places)
+
+
 def test_mixing_brute_force(docs_of):
     rng = random.Random(9)
     rows = []
