@@ -26,6 +26,8 @@ EPSILON = 3.0
 SEED, PLANES = 11, 4
 #: Bits of a code at least: bounds are as wide as one over the root of the bits.
 LEAST_BITS = 512
+#: Rows of a block at least (if there are as many) and at most: the k best of each block meet in the end, so large blocks hand on few.
+LEAST_ROWS, MOST_ROWS = 4096, 65536
 
 
 @functools.lru_cache(maxsize=2)
@@ -127,7 +129,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 20, k: int = 20, epsilon
     """
     rows = coded(clean(vectors, zero=False))
     queries = rows.where(F.col("vec_id") % every == 0).select(*query_columns())
-    return search(rows, queries, k, lambda data, asked: nearest(data, asked, k, epsilon), "double")
+    return search(rows, queries, k, lambda data, asked: nearest(data, asked, k, epsilon), "double", LEAST_ROWS, MOST_ROWS)
 
 
 def query(spark, sf_dir) -> DataFrame:

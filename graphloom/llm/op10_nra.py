@@ -21,6 +21,8 @@ from graphloom.llm.vectors import clean, matrix, query_columns, result, search,
 SCALE = 256
 #: Places that a round reads of each list, queries that read together, and rows for each of the k best that may be left to resolve.
 PLACES, TOGETHER, LEFT = 128, 64, 32
+#: Rows of a block at least (if there are as many) and at most: rounds grow with a block's rows, and so does a round's work.
+LEAST_ROWS, MOST_ROWS = 2048, 8192
 
 
 class Lists:
@@ -129,7 +131,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """
     rows = clean(vectors, zero=True)
     queries = rows.where(F.col("vec_id") % every == 0).select(*query_columns())
-    return search(rows, queries, k, lambda data, asked: best_scores(data, asked, k), "long")
+    return search(rows, queries, k, lambda data, asked: best_scores(data, asked, k), "long", LEAST_ROWS, MOST_ROWS)
 
 
 def query(spark, sf_dir) -> DataFrame:

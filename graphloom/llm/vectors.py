@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import written
 
-#: Blocks that vectors are cut into if these have LEAST rows then (so work spreads, and bounds within a block tell), rows of a block at most, bytes of a block's vectors at most, queries of a block at most.
-PARTS, LEAST, MOST, MOST_BYTES, MOST_QUERIES = 24, 2048, 16384, 64 << 20, 4096
+#: Blocks that vectors are cut into if these have enough rows then (so work spreads), bytes of a block's vectors at most, queries of a block at most.
+PARTS, MOST_BYTES, MOST_QUERIES = 24, 64 << 20, 4096
 
 
 def clean(vectors: DataFrame, zero: bool) -> DataFrame:
@@ -46,17 +46,17 @@ def query_columns() -> list:
     return [F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")]
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, best: Callable[[pa.Table, pa.Table], pa.Table], score_type: str) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int, best: Callable[[pa.Table, pa.Table], pa.Table], score_type: str, least_rows: int, most_rows: int) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best of all rows but its own.
 
     Rows and queries are dealt to blocks by a hash of row, and each block of queries meets each block of
-    rows in a task of its own: best(data, queries) gives the pair's k best a query as q (row), query_id,
+    rows (of least_rows or more, if there are as many, and most_rows at most) in a task of its own: best(data, queries) gives the pair's k best a query as q (row), query_id,
     vec_id, score. A row is sent once for each block of queries, and the k best of the blocks are all
     that meets in the end. Ties go to the smaller vec_id.
     """
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    most = max(1, min(MOST, MOST_BYTES // (8 * (size.dim or 1))))
-    db, qb = max(1, min(PARTS, size.n // LEAST), -(-size.n // most)), max(1, -(-queries.count() // min(most, MOST_QUERIES)))
+    most = max(1, min(most_rows, MOST_BYTES // (8 * (size.dim or 1))))
+    db, qb = max(1, min(PARTS, size.n // least_rows), -(-size.n // most)), max(1, -(-queries.count() // min(most, MOST_QUERIES)))
     part = lambda row, n: F.pmod(F.xxhash64(row), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = rows.select("*", part("row", db).alias("d"), every(qb).alias("q"))

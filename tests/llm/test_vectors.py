@@ -157,7 +157,10 @@ def test_ties_go_to_the_smaller_id(spark):
 
 
 def test_blocks_cover_all(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "MOST", 50)
+    monkeypatch.setattr(op10_nra, "MOST_ROWS", 50)
+    monkeypatch.setattr(op06_rabitq, "MOST_ROWS", 90)
     monkeypatch.setattr(vectors, "MOST_QUERIES", 7)
     rows = clustered(2000, 8, 1)
+    near = sorted((r.query_id, r.vec_id) for r in op06_rabitq.nearest_neighbours(frame(spark, rows), 50, 5).collect())
+    assert len(set(near) & {(q, v) for q, _, v, _ in plain(rows, 50, 5, inner, False)}) >= 0.99 * len(near) == 0.99 * 200
     assert sorted(tuple(r) for r in op10_nra.top_k(frame(spark, rows), 50, 5).collect()) == plain(rows, 50, 5, floors, True)
