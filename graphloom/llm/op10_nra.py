@@ -39,46 +39,51 @@ class Reading:
 
     def __init__(self, lists: Lists, q: np.ndarray):
         self.lists, self.depth = lists, 0
-        self.up, self.down = np.maximum(q, 0).T, np.minimum(q, 0).T
-        self.sums = np.zeros((lists.n, len(q)), dtype=q.dtype)
-        # which rows each list has shown from its high end and from its low end
+        #: The positive components, which read from the high end, and the negative ones, which read from the low end.
+        self.parts = np.concatenate([np.maximum(q, 0).T, np.minimum(q, 0).T])
+        # which rows each list has shown from its high end and from its low end, and the values
         self.seen = np.zeros((lists.n, 2 * lists.dim), dtype=q.dtype)
+        self.shown = np.zeros_like(self.seen)
 
     def further(self, places: int) -> None:
-        """Reads so many places more of each list: from its high end for positive components, from its low end for negative ones."""
+        """Reads so many places more of each list, from either end."""
         x = self.lists
         lo, hi = self.depth, min(self.depth + places, x.n)
-        for d in range(x.dim):
-            for side, at, of in ((0, slice(x.n - hi, x.n - lo), self.up[d]), (1, slice(lo, hi), self.down[d])):
-                if of.any():
-                    rows = x.order[d, at]
-                    self.sums[rows] += x.sorted[d, at, None] * of[None, :]
-                self.seen[x.order[d, at], side * x.dim + d] = 1
+        for side, at in ((0, slice(x.n - hi, x.n - lo)), (1, slice(lo, hi))):
+            place = x.order[:, at], side * x.dim + np.arange(x.dim)[:, None]
+            self.seen[place] = 1
+            self.shown[place] = x.sorted[:, at]
         self.depth = hi
 
     def bounds(self) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of all scores: what rows have shown, and for each list that hasn't shown them its far end, or its frontier."""
-        x, ends = self.lists, []
+        x, sums, ends = self.lists, self.shown @ self.parts, []
         if self.depth >= x.n:
-            return self.sums, self.sums
+            return sums, sums
         for high, low in ((x.sorted[:, 0], x.sorted[:, -1]), (x.sorted[:, x.n - self.depth], x.sorted[:, self.depth - 1])):
-            rest = np.concatenate([high[:, None] * self.up, low[:, None] * self.down])
-            ends.append(self.sums + rest.sum(axis=0)[None, :] - self.seen @ rest)
+            rest = np.concatenate([high, low])[:, None] * self.parts
+            ends.append(sums + rest.sum(axis=0)[None, :] - self.seen @ rest)
         return ends[0], ends[1]
 
     def only(self, queries: np.ndarray) -> None:
         """Goes on with some of the queries."""
-        self.up, self.down, self.sums = self.up[:, queries], self.down[:, queries], self.sums[:, queries]
+        self.parts = self.parts[:, queries]
 
 
 def read(lists: Lists, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, int]]:
-    """For each query (rows of q) the rows that can be among its k best when it stops reading, and the depth at which it did. own: rows that a query may not find."""
+    """For each query (rows of q) the rows that can be among its k best when it stops reading, and the depth at which it did. own: rows that a query may not find.
+
+    While far more rows can qualify than may be left, the next rounds read without a look at the bounds.
+    """
     found: list[tuple[np.ndarray, int]] = [(np.empty(0, np.int64), 0)] * len(q)
-    reading, left = Reading(lists, q), np.arange(len(q))
+    reading, left, blind = Reading(lists, q), np.arange(len(q)), 0
     while len(left):
         reading.further(PLACES)
+        if blind and reading.depth < lists.n:
+            blind -= 1
+            continue
         lower, upper = reading.bounds()
-        stay = []
+        stay, fewest = [], lists.n
         for j, query in enumerate(left):
             free = ~own[:, query]
             some = lower[free, j]
@@ -88,6 +93,8 @@ def read(lists: Lists, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.
                 found[query] = (able, reading.depth)
             else:
                 stay.append(j)
+                fewest = min(fewest, len(able))
+        blind = max(0, (fewest // (LEFT * k)).bit_length() - 1)
         if len(stay) < len(left):
             reading.only(np.array(stay, dtype=np.int64))
             left = left[stay]
