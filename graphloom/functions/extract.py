@@ -14,14 +14,17 @@ def mentions(texts: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_co
 
     Runs of words are hashed and met with names in an equi-join, so neither side is tried against the other.
     """
-    words = F.filter(F.split(F.lower(text_col), _BREAK), lambda w: w != "")
-    held = texts.select(id_col, F.coalesce(words, F.array().cast("array<string>")).alias("w"))
+    parts = lambda c: F.filter(F.split(F.lower(c), _BREAK), lambda w: w != "")
+    names = nodes.select(F.col("name").alias("mention"), parts("name").alias("n")).where((F.size("n") > 0) & (F.size("n") <= most_words))
+    names = names.select("mention", F.size("n").alias("k"), F.array_join("n", " ").alias("run")).distinct()
+    counts = sorted(r.k for r in names.select("k").distinct().collect())  # most_words numbers: runs that no name is as long as are not made
+    held = texts.select(id_col, F.coalesce(parts(text_col), F.array().cast("array<string>")).alias("w"))
     none = F.array().cast("array<string>")
     of = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(none)
-    runs = F.array_distinct(F.concat(F.col("w"), *[of(k) for k in range(2, most_words + 1)]))
-    each = held.select(id_col, F.explode(runs).alias("run"))
-    names = nodes.select(F.col("name").alias("mention"), F.array_join(F.filter(F.split(F.lower("name"), _BREAK), lambda w: w != ""), " ").alias("run")).distinct()
-    return each.join(names.where(F.col("run") != ""), "run").select(id_col, "mention").distinct()
+    runs = F.array_distinct(F.concat(none, *[F.col("w") if k == 1 else of(k) for k in counts]))
+    each = held.select(id_col, F.explode(runs).alias("run")).withColumn("h", F.xxhash64("run"))
+    named = names.select("mention", F.col("run").alias("named"), F.xxhash64("run").alias("h"))
+    return each.join(named, "h").where(F.col("run") == F.col("named")).select(id_col, "mention").distinct()
 
 
 #: A capitalised word in any script: a capital and letters, with apostrophes and hyphens inside.
