@@ -50,13 +50,15 @@ def _plain(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACES)
 
 
+def windows_of(word: bytes) -> list[bytes]:
+    """A word with its beginning marked; a long one in overlapping parts."""
+    word = word[:FIRST].translate(_BEGIN) + word[FIRST:]
+    return [word] if len(word) <= LONG else [word[i : i + LONG] for i in range(0, len(word) - OVERLAP, LONG - OVERLAP)]
+
+
 def words(text: str | None) -> list[bytes]:
-    """The words of a text in order, their beginnings marked; long ones in overlapping parts."""
-    found = []
-    for w in _plain(text).split():
-        w = w[:FIRST].translate(_BEGIN) + w[FIRST:]
-        found += [w] if len(w) <= LONG else [w[i : i + LONG] for i in range(0, len(w) - OVERLAP, LONG - OVERLAP)]
-    return found
+    """The windows of a text's words, in order."""
+    return [x for w in _plain(text).split() for x in windows_of(w)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -70,8 +72,8 @@ def _compressors(toxic: bytes, ordinary: bytes):
     return made
 
 
-class _Gains(dict):
-    """Bytes that the toxic dictionary saves of a word, kept for words that come again; emptied when full, so memory is bounded."""
+class _Saved(dict):
+    """Bytes beyond one that the toxic dictionary saves of each of a word's windows, kept for words that come again; emptied when full, so memory is bounded."""
 
     def __init__(self, toxic: bytes, ordinary: bytes, common: bytes):
         self.t, self.o = _compressors(toxic, ordinary)
@@ -80,14 +82,16 @@ class _Gains(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        x = b" " + word + b" " + self.common  # so much that is known makes zstandard compress, not store, what goes before
-        self[word] = gain = len(self.o(x)) - len(self.t(x))
-        return gain
+        each = [b" " + x + b" " + self.common for x in windows_of(word)]  # so much that is known makes zstandard compress, not store, what goes before
+        found = sum(max(0, len(self.o(x)) - len(self.t(x)) - 1) for x in each)
+        if len(word) <= LONG:
+            self[word] = found
+        return found
 
 
 @functools.lru_cache(maxsize=4)
-def _gains(toxic: bytes, ordinary: bytes, common: bytes) -> _Gains:
-    return _Gains(toxic, ordinary, common)
+def _saved(toxic: bytes, ordinary: bytes, common: bytes) -> _Saved:
+    return _Saved(toxic, ordinary, common)
 
 
 @dataclass
@@ -104,10 +108,12 @@ class Model:
         """What windows save beyond a byte, in all, over what grows like the chance savings of a text of so many windows."""
         if self.toxic == self.ordinary:
             return 0.0
-        gains = _gains(self.toxic, self.ordinary, self.common)
-        found = words(text)
-        saved = sum(g - 1 for g in map(gains.__getitem__, found) if g > 1)
-        return saved / math.sqrt(1 + len(found) / 500)
+        found = _plain(text).split()
+        saved = sum(map(_saved(self.toxic, self.ordinary, self.common).__getitem__, found))
+        many = len(found)
+        if found and max(map(len, found)) > LONG:
+            many = sum(1 if len(w) <= LONG else len(windows_of(w)) for w in found)
+        return saved / math.sqrt(1 + many / 500)
 
     def score(self, text: str | None) -> float:
         """The share of label 1 at the text's figure; a thousandth of it orders texts of the same share."""
