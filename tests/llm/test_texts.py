@@ -189,6 +189,46 @@ def test_crf_finds_values_without_key_words(crf):
     assert found >= 90 and wrong <= 3
 
 
+def test_crf_reads_every_token():
+    """The chain of a text is all of its tokens, whatever stands near them."""
+    rng = random.Random(6)
+    for _ in range(500):
+        text = "".join(rng.choice("abcXYZ019 _+/=.-\n\té٣²ÉñΩ漢'\"{}!\u0301 ") for _ in range(rng.randrange(40)))
+        assert [tuple(t) for c in op01_secrets._chains(text) for t in c.tolist()] == [m.span() for m in op01_secrets._TOKEN.finditer(text)]
+
+
+def test_crf_finds_letters_far_from_any_key_word(crf):
+    """Values of small letters alone, which have neither digits nor capitals nor a key word; and nothing else."""
+    rng = random.Random(22)
+    found = wrong = 0
+    for text in invented(rng, 100):
+        words = text.split()
+        value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(32, 60)))
+        words.insert(rng.randrange(5, len(words)), f'"{value}"')
+        t = " ".join(words)
+        at = t.index(value)
+        got = op01_secrets.crf_spans(t, crf)
+        found += (at, at + len(value)) in got
+        wrong += len([g for g in got if g[1] <= at or at + len(value) <= g[0]])
+    assert found >= 90 and wrong <= 3
+
+
+def test_crf_spans_however_texts_are_laid_out(crf):
+    """One plain Viterbi path over all tokens of each text, for trained, weak and chance weights, and cuts of many sizes."""
+    state, step = np.random.default_rng(1).normal(size=(crf.state.shape)), np.random.default_rng(2).normal(size=(3, 3))
+    state[-1], step[0, 2] = 0, -1e9
+    weak = op01_secrets.Crf(crf.state * 0.3, crf.step * 0.3)
+    weak.step[0, 2] = -1e9
+    rng = random.Random(4)
+    parts = ["token = ", "word", "Ab9x7Q" * 4, "x" * 40, ", ", "\n", " ", " ", "é", "٣", "secret: ", "a.b@c.d", "deadbeef0123" * 3, " " * 60, "= '", "plainword "]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(rng.randrange(1, 5))]
+        for some in (crf, weak, op01_secrets.Crf(state, step)):
+            want = [plain_crf_spans(t, some) for t in texts]
+            for most, block in ((1 << 19, 1 << 15), (37, 5), (200, 16)):
+                assert op01_secrets.crf_spans_of(texts, some, most, block) == want
+
+
 def test_secrets_odd(spark, odd_docs, clashing, crf):
     out = op01_secrets.find_secrets(clashing(odd_docs, "spans", "kind", "h"), crf)
     assert out.count() == odd_docs.count() and out.columns.count("spans") == 1
